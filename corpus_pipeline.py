@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, language_id
+from factweave.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
 from factweave.llm.storage import materialize, table
 
 
@@ -14,6 +14,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.accepted(docs, language_id.fit(docs))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat; one of whose text nothing visible is left goes."""
+    found = line_dedup.dedup_lines(docs)
+    return found.where(r"not (__lost > 0 and text rlike '^\\s*$')").select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.deduplicate(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, with the hashes of the ids and of the decoded bytes."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -21,6 +37,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language id", language),
+    ("line dedup", lines),
+    ("near dedup", copies),
+    ("decontamination", leaks),
     ("byte-level bpe", tokens),
 ]
 

@@ -78,8 +78,8 @@ class Scorer:
         return [sum([len(coder(b)) for b in blocks]) for coder in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, margin): und, 0, 0 without a letter. The score is 1 / (1 + e^-z), where z grows
-        with the margin, scaled to 0..1; a tie goes to the first language by name."""
+        """(language, score, margin): und, 0, 0 without a letter. The score is 0.5 at a
+        tie (which goes to the first language by name) and rises with the margin to 1 at a gap of a twentieth."""
         if not text or not self.coders or not _letter.search(text):
             return UNKNOWN, 0.0, 0.0
         sizes = self.sizes(text)
@@ -87,7 +87,7 @@ class Scorer:
         best = sizes[order[0]]
         second = sizes[order[1]] if len(order) > 1 else 2 * best
         margin = (second - best) / max(second, 1)
-        return self.languages[order[0]], min(1.0, 0.5 + margin / 0.1), margin
+        return self.languages[order[0]], min(1.0, 0.5 + 10 * margin), margin
 
 
 _scorers: dict[int, Scorer] = {}

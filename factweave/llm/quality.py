@@ -6,8 +6,8 @@ count the distinct n-grams that continue them. Probabilities of the n-grams seen
 their contexts are kept in arrays of float32 beside sorted arrays of 64-bit hashes.
 
 A text whose perplexity leaves the band of its language is rejected: too high is noise, too low is repetition. The
-band is centred on the median log-perplexity of the texts that pass the plain rules, and is WIDTH robust
-deviations wide on either side, and wider for short texts, whose means scatter more.
+band is laid around the median log-perplexity of the texts that pass the plain rules, in robust deviations (from the
+median absolute deviation), and is wider for short texts, whose means scatter more.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from .storage import join_sized, materialize
 from .textkernel import U64, Words, mix, span_hashes, string_buffers
 
 ORDER = 5
-#: Robust deviations on either side of the median.
-WIDTH = 8.0
-#: Least half-width of a band in log-perplexity, and what a text of n characters gets besides: EXTRA / sqrt(n).
-LEAST, EXTRA = 0.25, 4.0
+#: A band reaches so many robust deviations from the median, and for a text of n characters so much / sqrt(n)
+#: more: up and down. Upwards it is narrow, as noise raises every character's cost; downwards it is wide, as
+#: any text that has copies elsewhere is well predicted.
+UPPER, LOWER = (1.5, 2.0), (6.0, 6.0)
 #: n-grams and contexts up to which the model is broadcast (12 bytes each); beyond it texts are scored by joins.
 MODEL_ROWS = 8_000_000
 SLICE = 1 << 21
@@ -394,7 +394,7 @@ def score_by_joins(docs: DataFrame, probabilities: DataFrame, weights: DataFrame
     return out.groupBy("key", "lang").agg(F.sum("v").alias("logp"))
 
 
-def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+def quality(docs: DataFrame, upper: tuple[float, float] = UPPER, lower: tuple[float, float] = LOWER) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl for every
     row of docs (doc_id, lang, text).
 
@@ -419,6 +419,8 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     middle = materialize(sound.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("middle")), "middle")
     spread = sound.join(F.broadcast(middle.limit(100_000)), "lang").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")), 0.5, 10_000).alias("mad"), F.first("middle").alias("middle"))
     bands = join_sized(measured, materialize(spread, "bands"), "lang", "left", 64)
-    half = F.greatest(F.lit(LEAST), width * 1.4826 * F.col("mad")) + EXTRA / F.sqrt("size")
-    outside = F.coalesce(F.abs(F.col("log_ppl") - F.col("middle")) > half, F.lit(False))
+    deviation, off = 1.4826 * F.col("mad"), F.col("log_ppl") - F.col("middle")
+    high = off > upper[0] * deviation + upper[1] / F.sqrt("size")
+    low = -off > lower[0] * deviation + lower[1] / F.sqrt("size")
+    outside = F.coalesce(high | low, F.lit(False))
     return bands.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & ~outside).alias("kept"), "log_ppl")

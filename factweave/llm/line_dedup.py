@@ -39,7 +39,11 @@ def normal(line: str) -> str:
 
 
 def simhash(lines: list[bytes]) -> np.ndarray:
-    """64 bits for every line (of one word at least): a bit is set if most words' hashes have it."""
+    """64 bits for every line (of one word at least): a bit is set if most words' hashes have it.
+
+    Words count by length (in bytes: 1 up to three, then 2 more for each of nine), or the few short words that fill
+    every line would give unlike lines like bits.
+    """
     raw = np.frombuffer(b"\n".join(lines), np.uint8)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -47,10 +51,11 @@ def simhash(lines: list[bytes]) -> np.ndarray:
     words = Words(raw, offsets)
     h = words.hashes()
     first = words.first[:-1]
-    half = words.count // 2
+    weight = (1 + 2 * np.clip(words.end - words.start - 3, 0, 9)).astype(U64)
+    half = np.add.reduceat(weight, first).astype(np.int64) // 2
     out = np.zeros(len(lines), U64)
     for bit in range(0, 64, 2):
-        two = np.add.reduceat(_LANES[((h >> U64(bit)) & U64(3)).astype(np.intp)], first)
+        two = np.add.reduceat(_LANES[((h >> U64(bit)) & U64(3)).astype(np.intp)] * weight, first)
         out |= ((two & U64(0xFFFFFFFF)).astype(np.int64) > half).astype(U64) << U64(bit)
         out |= ((two >> U64(32)).astype(np.int64) > half).astype(U64) << U64(bit + 1)
     return out

@@ -105,9 +105,9 @@ def _lines(text: str | None, least: int) -> list[tuple[int, str]]:
     return [(i, n) for i, line in enumerate((text or "").split("\n")) if (n := normal(line)).count(" ") >= least - 1 and n]
 
 
-def _key(text: str | None) -> int:
+def _text_key(text_col: str):
     """Tells rows of one doc_id with different texts apart."""
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _line_id(line: bytes) -> int:
@@ -137,10 +137,9 @@ def _occurrences(least: int):
                         rows.append(at)
                         numbers.append(number)
                         lines.append(line.encode("utf-8", "surrogatepass"))
-                keys = np.array([_key(t) for t in texts], np.int64)
-                rows = np.array(rows, np.int64)
+                rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_line_id(x) for x in lines], pa.int64()), pa.array((simhash(lines) if lines else np.zeros(0, U64)).view(np.int64)), batch.column(0).slice(low, len(texts)).take(pa.array(rows)), pa.array(keys[rows]), pa.array(numbers, pa.int32())],
+                    [pa.array([_line_id(x) for x in lines], pa.int64()), pa.array((simhash(lines) if lines else np.zeros(0, U64)).view(np.int64)), batch.column(0).slice(low, len(texts)).take(rows), batch.column(2).slice(low, len(texts)).take(rows), pa.array(numbers, pa.int32())],
                     ["id", "sim", "doc_id", "doc_key", "line_no"],
                 )
 
@@ -170,7 +169,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(occurrences, keepers): every occurrence (id, sim, doc_id, doc_key, line_no), and for each line that
     repeats or is linked its kept occurrence (id, first: struct of doc_id, doc_key, line_no)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("doc_key"))
     occurrences = materialize(own.mapInArrow(_occurrences(least), f"id bigint, sim bigint, doc_id {kind}, doc_key bigint, line_no int"), "lines")
     # A null doc_id sorts after all others.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "line_no")
@@ -204,30 +203,23 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _rewrite(names: list[str], text_col: str):
     def run(batches):
+        at, drop = names.index(text_col), len(names)
         for batch in batches:
-            at, drop = names.index(text_col), len(names)
-            texts, counts, lost = [], [], []
-            for value, numbers in zip(batch.column(at), batch.column(drop)):
-                text, gone = value.as_py(), set(numbers.as_py() or ())
-                lines = (text or "").split("\n")
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
-                counts.append(len(lines) if text else 0)
-                lost.append(len(gone))
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns[names.index("n_chars")] = size.cast(batch.schema.field(names.index("n_chars")).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__lost"])
-
-    return run
-
-
-def _keyed(names: list[str], text_col: str):
-    def run(batches):
-        for batch in batches:
-            keys = pa.array([_key(v.as_py()) for v in batch.column(names.index(text_col))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "__doc_key"])
+            for low, old in _parts(batch, at):
+                rows = batch.slice(low, len(old))
+                texts, counts, lost = [], [], []
+                for text, numbers in zip(old, rows.column(drop)):
+                    gone = set(numbers.as_py() or ())
+                    lines = (text or "").split("\n")
+                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+                    counts.append(len(lines) if text else 0)
+                    lost.append(len(gone))
+                columns = [rows.column(i) for i in range(len(names))]
+                columns[at] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                    columns[names.index("n_chars")] = size.cast(rows.schema.field(names.index("n_chars")).type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__lost"])
 
     return run
 
@@ -246,6 +238,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_key") == F.col("first.doc_key")) & (F.col("line_no") == F.col("first.line_no"))
     gone = materialize(found.where(~kept).groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc"), "gone-lines")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(_keyed(docs.columns, text_col), f"{shape}, __doc_key bigint")
+    keyed = docs.withColumn("__doc_key", _text_key(text_col))
     joined = join_sized(keyed, gone, keyed[id_col].eqNullSafe(gone["__doc"]) & (keyed["__doc_key"] == gone["doc_key"]), "left", 96)
     return joined.select(*[f"`{c}`" for c in docs.columns], "__gone").mapInArrow(_rewrite(docs.columns, text_col), f"{shape}, __lines bigint, __lost bigint")

@@ -44,6 +44,17 @@ CACHE = 500_000
 _odd = re.compile("[\x1c-\x1f]")
 
 
+class _Letters(dict):
+    """How the tokenizer's own pre-tokenizer writes each letter, filled in on demand; it maps bytes one by one."""
+
+    def __init__(self, pre_tokenizer):
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.pre_tokenizer.pre_tokenize_str(chr(code))[0][0]
+        return out
+
+
 class Encoder:
     """A tokenizer that encodes each run between white space once and remembers it.
 
@@ -57,19 +68,33 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.letters = _Letters(self.tokenizer.pre_tokenizer)
         self.fits = all(self._whole(t) == self._whole(t.split()[0]) + self._whole(t.split()[1]) for t in ("ab cd", "ab\nécd", "It's  1,5!", "a \t'S"))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _run(self, run: str) -> bytes:
+    def _pieces(self, text: str) -> bytes:
         tokenize = self.tokenizer.model.tokenize
-        if run.isascii() and run.isalpha():
-            ids = [t.id for t in tokenize(run.lower())]
-        else:
-            text = self.tokenizer.normalizer.normalize_str(run)
-            ids = [t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for t in tokenize(piece)]
-        return np.array(ids, self.type).tobytes()
+        return np.array([t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for t in tokenize(piece)], self.type).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a run of letters as the one piece that it is; None if it is no longer letters once normalised."""
+        text = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        if not text.isalpha():
+            return None
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.letters))], self.type).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        marked = run[-1] in ".,;:!?"
+        head = run[:-1] if marked else run
+        if head.isalpha():
+            ids = self.known.get(head) if marked else None
+            if ids is None and (ids := self._word(head)) is not None:
+                self.known[head] = ids
+            if ids is not None:
+                return ids + self._pieces(run[-1]) if marked else ids
+        return self._pieces(self.tokenizer.normalizer.normalize_str(run))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Every text's ids, little-endian, of self.type."""

@@ -49,25 +49,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clusters(
     buckets: DataFrame,
-    sketch: list[str],
+    sketches: DataFrame,
     distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     near: int,
     verify: Callable[[DataFrame], DataFrame],
 ) -> tuple[DataFrame | None, DataFrame | None]:
-    """(groups (id, root), links (a, b)) of the items in buckets (key, id, sketch columns).
+    """(groups (id, root), links (a, b)) of the items in buckets (key, id).
 
-    distance(x, y) is the column that compares two items' sketches, x("s") being an item's sketch column s;
-    pairs over near are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike.
-    (None, None) if no two items are.
+    sketches (id, columns) is a materialized table of all items; it is joined only to items that share a bucket.
+    distance(x, y) is the column that compares two sketches, x("s") being an item's sketch column s; pairs over near
+    are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike. (None, None) if no two items are.
     """
+    sketch = [c for c in sketches.columns if c != "id"]
+    width = 24 + 8 * len(sketch)
+
+    def sketched(df: DataFrame, column: str) -> DataFrame:
+        """df with the sketch of the item in column, as {column}_{sketch column}."""
+        return join_sized(df, sketches.select(F.col("id").alias(column), *[F.col(c).alias(f"{column}_{c}") for c in sketch]), column, "inner", width)
+
+    def far(x: str, y: str) -> Column:
+        return distance(lambda c: F.col(f"{x}_{c}"), lambda c: F.col(f"{y}_{c}"))
+
     w = Window.partitionBy("key")
-    lead = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", *sketch)).over(w)
+    lead = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).over(w)
     met = buckets.withColumn("n", F.count("*").over(w)).where("n > 1").withColumn("lead", lead)
-    met = materialize(met.select("key", "id", *sketch, *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ["id", *sketch]]), "buckets")
-
-    far = distance(lambda c: F.col(c), lambda c: F.col(f"lead_{c}"))
-    star = met.where("id <> lead_id").select("id", F.col("lead_id").alias("lead"), far.alias("far")).where(F.col("far") <= near)
-    star = materialize(star.groupBy("id", "lead").agg(F.min("far").alias("far")), "star")
+    met = materialize(met.select("key", "id", F.col("lead.id").alias("lead")), "buckets")
+    star = materialize(met.where("id <> lead").select("id", "lead").distinct(), "star-pairs")
+    star = materialize(sketched(sketched(star, "id"), "lead").select("id", "lead", far("id", "lead").alias("far")).where(F.col("far") <= near), "star")
     first = star.groupBy("id").agg(F.min(F.struct("far", "lead")).alias("l")).select("id", F.col("l.lead").alias("lead"))
 
     def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -97,14 +105,14 @@ def clusters(
     add(pairs(apart(rest, groups, "id", "lead"), "id", "lead"), "leaders")
 
     # A bucket all of one group is done; so is a pair with the leader, which was compared above.
-    own = met.select("key", "id", *sketch, "lead_id")
+    own = met
     if groups is not None:
         own = join_sized(own, groups, "id", "left", 16).withColumn("root", F.coalesce("root", "id"))
     else:
         own = own.withColumn("root", F.col("id"))
     spread = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    own = materialize(own.join(spread, "key", "left_semi"), "spread")
-    x, y = own.alias("x"), own.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.id") != F.col("x.lead_id")) & (F.col("y.id") != F.col("y.lead_id")) & (distance(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) <= near))
-    add(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest")
+    own = materialize(sketched(own.join(spread, "key", "left_semi"), "id"), "spread")
+    x, y = (own.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in own.columns if c != "key"]) for p in ("x", "y"))
+    cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near))
+    add(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "rest")
     return groups, links

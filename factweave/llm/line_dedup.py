@@ -180,7 +180,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.shiftrightunsigned(sim, BLOCKS[x][0]).bitwiseAND((1 << BLOCKS[x][1]) - 1)
 
     tables = [F.shiftleft(F.lit(t).cast("long"), 26).bitwiseOR(F.shiftleft(block(x), 13)).bitwiseOR(block(y)) for t, (x, y) in enumerate(combinations(range(5), 2))]
-    buckets = distinct.select(F.explode(F.array(*tables)).alias("key"), "id", "sim")
+    buckets = distinct.select(F.explode(F.array(*tables)).alias("key"), "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -191,7 +191,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a bigint, b bigint")
 
-    groups, _ = clusters(buckets, ["sim"], lambda x, y: F.bit_count(x("sim").bitwiseXOR(y("sim"))), BITS, verify)
+    groups, _ = clusters(buckets, distinct.select("id", "sim"), lambda x, y: F.bit_count(x("sim").bitwiseXOR(y("sim"))), BITS, verify)
     if groups is None:
         return occurrences, materialize(distinct.where("n > 1").select("id", "first"), "keepers")
     joined = join_sized(distinct, groups, "id", "left", 16)

@@ -28,7 +28,7 @@ BITS = 3
 SIMILAR = 0.9
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Characters of text worked on at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _digit = re.compile(r"\d")
 _LANES = np.array([0, 1, 1 << 32, (1 << 32) + 1], U64)
@@ -220,6 +220,8 @@ def _rewrite(names: list[str], text_col: str):
                     size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
                     columns[names.index("n_chars")] = size.cast(rows.schema.field(names.index("n_chars")).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__lost"])
+                del rows, columns, texts
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat; one of whose text nothing visible is left goes."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, every=True)
     return found.where(r"not (__lost > 0 and text rlike '^\\s*$')").select(*docs.columns)
 
 

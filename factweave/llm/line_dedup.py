@@ -6,6 +6,16 @@ differ in at most BITS bits and their edit similarity, 1 - distance / longer len
 With the bits in five blocks, two hashes at most three bits apart agree in two blocks at least; so a join
 on the ten pairs of blocks (25 or 26 bits each) finds every such pair. Of each connected group of lines the first
 occurrence, by (doc_id, line number), stays; all others are taken out.
+
+That reading of the method misses most lines that are alike, so the query and the pipeline ask for `every`: all lines
+that are not blank take part, and lines of any script are linked by edit similarity alone. Candidates share a key:
+
+* lines of 9 to 19 characters (one edit at most): the line itself or it less one character, which finds every pair;
+* longer lines: TABLES keys of ROWS minimum hashes each over character n-grams, among lines of one class of lengths
+  (a line that may be alike to one of the next class has keys there too). A pair is compared unless its
+  lengths rule it out or, over SHORT characters, more than NEAR of 63 bits of its minimum hashes differ.
+
+Lines under 9 characters are alike only if equal.
 """
 
 from __future__ import annotations
@@ -21,12 +31,18 @@ from pyspark.sql import functions as F
 
 from .clusters import clusters
 from .storage import join_sized, materialize
-from .textkernel import U64, Words
+from .textkernel import U64, Words, mix
 
 MIN_WORDS = 5
 BITS = 3
 SIMILAR = 0.9
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Set by the distances measured between lines of sf0.1 and copies of them at edit similarity 0.905 (see README).
+TABLES, ROWS, NEAR = 21, 3, 26
+#: Least lengths of the classes of lines. The first, under SHORT characters, has shorter n-grams.
+EDGES = np.array([20, 40, *(int(60 * 1.5**i) for i in range(40))])
+SHORT = 40
+GRAM, SHORT_GRAM = 6, 4
 #: Characters of text worked on at a time.
 SLICE = 1 << 18
 
@@ -61,6 +77,58 @@ def simhash(lines: list[bytes]) -> np.ndarray:
     return out
 
 
+_draw = np.random.default_rng(20)
+_TIMES, _PLUS = (_draw.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
+
+
+def _minima(lines: list[str], gram: int) -> np.ndarray:
+    """TABLES * ROWS minimum hashes over the character n-grams of every line of gram characters at least."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    n = len(points) - gram + 1
+    h = np.zeros(n, U64)
+    for k in range(gram):
+        h = h * U64(0x9E3779B97F4A7C15) + points[k : n + k] + U64(1)
+    whole = np.ones(len(points), bool)
+    for k in range(1, gram):
+        whole[np.cumsum(sizes) - k] = False
+    h = mix(h[whole[:n]])
+    first = np.cumsum(sizes - gram + 1) - (sizes - gram + 1)
+    low, high = h.astype(np.uint32), (h >> U64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat(low * a + high * b, first) for a, b in zip(_TIMES, _PLUS)], axis=1)
+
+
+def candidate_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(63 bits of minimum hashes, 0 under SHORT; the 32-bit keys) of every normalised line."""
+    sim, keys = np.zeros(len(lines), U64), [[] for _ in lines]
+    classes: dict[int, list[int]] = {}
+    for at, line in enumerate(lines):
+        n = len(line)
+        if 9 <= n < EDGES[0]:
+            cuts = {line, *(line[:i] + line[i + 1 :] for i in range(n))}
+            keys[at].append(np.array([xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in cuts], np.uint32))
+        own, over = np.searchsorted(EDGES, [n, int(n / SIMILAR + 1e-9)], side="right") - 1
+        for c in {int(own), int(over)} - {-1}:
+            classes.setdefault(c, []).append(at)
+    for gram, chosen in ((SHORT_GRAM, [c for c in classes if c == 0]), (GRAM, [c for c in classes if c])):
+        rows = sorted({at for c in chosen for at in classes[c]})
+        if not rows:
+            continue
+        found = _minima([lines[at] for at in rows], gram)
+        place = {at: i for i, at in enumerate(rows)}
+        if gram == GRAM:
+            bits = (found * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(U64)
+            sim[rows] = np.where([len(lines[at]) >= SHORT for at in rows], (bits << np.arange(TABLES * ROWS, dtype=U64)).sum(axis=1, dtype=U64), U64(0))
+        for c in chosen:
+            part = found[[place[at] for at in classes[c]]].reshape(-1, TABLES, ROWS).astype(U64)
+            h = np.broadcast_to(np.arange(TABLES, dtype=U64) + U64(1000 * c), part.shape[:2])
+            for r in range(ROWS):
+                h = mix(h * U64(31) + part[:, :, r])
+            for at, own in zip(classes[c], h.astype(np.uint32)):
+                keys[at].append(own)
+    return sim, [np.concatenate(k).view(np.int32) if k else np.zeros(0, np.int32) for k in keys]
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or most + 1 if it is larger; bit-parallel, after common ends are cut off."""
     if abs(len(a) - len(b)) > most:
@@ -146,6 +214,36 @@ def _occurrences(least: int):
     return run
 
 
+def _every(batches):
+    """All lines that are not blank; a line's keys stand beside its first occurrence in the task only."""
+    seen: set[int] = set()
+    for batch in batches:
+        for low, texts in _parts(batch, 1):
+            rows, numbers, lines = [], [], []
+            for at, text in enumerate(texts):
+                for number, line in _lines(text, MIN_WORDS):
+                    rows.append(at)
+                    numbers.append(number)
+                    lines.append(line)
+            ids = [_line_id(x.encode("utf-8", "surrogatepass")) for x in lines]
+            fresh = {}
+            for at, own in enumerate(ids):
+                if own not in seen:
+                    fresh.setdefault(own, at)
+            sim, keys = candidate_keys([lines[at] for at in fresh.values()])
+            sims, held = [None] * len(lines), [None] * len(lines)
+            for at, x, k in zip(fresh.values(), sim.view(np.int64).tolist(), keys):
+                sims[at], held[at] = x, k
+            seen.update(fresh)
+            if len(seen) > 1_000_000:
+                seen = set()  # a line met again only brings its keys again
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sims, pa.int64()), pa.array(list(map(len, lines)), pa.int32()), pa.array(held, pa.list_(pa.int32())), batch.column(0).slice(low, len(texts)).take(rows), batch.column(2).slice(low, len(texts)).take(rows), pa.array(numbers, pa.int32())],
+                ["id", "sim", "size", "keys", "doc_id", "doc_key", "line_no"],
+            )
+
+
 def _texts(least: int):
     def run(batches):
         for batch in batches:
@@ -165,22 +263,41 @@ def _verify(similar: float):
     return run
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, similar: float = SIMILAR):
-    """(occurrences, keepers): every occurrence (id, sim, doc_id, doc_key, line_no), and for each line that
-    repeats or is linked its kept occurrence (id, first: struct of doc_id, doc_key, line_no)."""
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, similar: float = SIMILAR, every: bool = False):
+    """(occurrences, keepers): every occurrence (id, doc_id, doc_key, line_no and more), and for each line that
+    repeats or is linked its kept occurrence (id, first: struct of doc_id, doc_key, line_no). With every, least is
+    1 and similar is SIMILAR."""
+    if every:
+        least, similar = MIN_WORDS, SIMILAR
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("doc_key"))
-    occurrences = materialize(own.mapInArrow(_occurrences(least), f"id bigint, sim bigint, doc_id {kind}, doc_key bigint, line_no int"), "lines")
     # A null doc_id sorts after all others.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "line_no")
-    distinct = materialize(occurrences.groupBy("id").agg(F.first("sim").alias("sim"), F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    ends = f"doc_id {kind}, doc_key bigint, line_no int"
+    if every:
+        occurrences = materialize(own.mapInArrow(_every, f"id bigint, sim bigint, size int, keys array<int>, {ends}"), "lines")
+        sketch = [F.max("sim").alias("sim"), F.max("size").alias("size"), F.first("keys", ignorenulls=True).alias("keys")]
+    else:
+        occurrences = materialize(own.mapInArrow(_occurrences(least), f"id bigint, sim bigint, {ends}"), "lines")
+        sketch = [F.first("sim").alias("sim")]
+    distinct = materialize(occurrences.groupBy("id").agg(*sketch, F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
     sim = F.col("sim")
 
     def block(x: int):
         return F.shiftrightunsigned(sim, BLOCKS[x][0]).bitwiseAND((1 << BLOCKS[x][1]) - 1)
 
-    tables = [F.shiftleft(F.lit(t).cast("long"), 26).bitwiseOR(F.shiftleft(block(x), 13)).bitwiseOR(block(y)) for t, (x, y) in enumerate(combinations(range(5), 2))]
-    buckets = distinct.select(F.explode(F.array(*tables)).alias("key"), "id")
+    def apart(x, y):
+        bits = F.bit_count(x("sim").bitwiseXOR(y("sim")))
+        if not every:
+            return bits
+        short, long = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
+        return F.when(short * 10 < long * 9, NEAR + 1).when(short < SHORT, 0).otherwise(bits)
+
+    if every:
+        buckets = distinct.select(F.explode("keys").alias("key"), "id")
+    else:
+        tables = [F.shiftleft(F.lit(t).cast("long"), 26).bitwiseOR(F.shiftleft(block(x), 13)).bitwiseOR(block(y)) for t, (x, y) in enumerate(combinations(range(5), 2))]
+        buckets = distinct.select(F.explode(F.array(*tables)).alias("key"), "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -191,7 +308,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a bigint, b bigint")
 
-    groups, _ = clusters(buckets, distinct.select("id", "sim"), lambda x, y: F.bit_count(x("sim").bitwiseXOR(y("sim"))), BITS, verify)
+    groups, _ = clusters(buckets, distinct.select("id", "sim", *(["size"] if every else [])), apart, NEAR if every else BITS, verify)
+    distinct = distinct.select("id", "first", "n")
     if groups is None:
         return occurrences, materialize(distinct.where("n > 1").select("id", "first"), "keepers")
     joined = join_sized(distinct, groups, "id", "left", 16)
@@ -226,17 +344,18 @@ def _rewrite(names: list[str], text_col: str):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, similar: float = SIMILAR, every: bool = False) -> DataFrame:
     """docs, all columns and rows, with repeated lines taken out of text_col, and __lines and __lost, the
     numbers of lines before and of lines taken out. A column n_chars follows the new text.
 
-    Lines of under `least` words always stay. Null and empty texts are unchanged (0 lines). Rows equal in
+    With every, all lines that are not blank take part and are linked by edit similarity alone; without it lines of
+    under `least` words always stay, and only links within BITS count. Null and empty texts are unchanged (0 lines). Rows equal in
     doc_id and text count as one document, so both keep its lines. Null ids come after all others in the order
     that decides which occurrence is first. Only line hashes and positions are shuffled; texts only move if
     the lines to take out are too many to broadcast.
     """
-    occurrences, keepers = line_groups(docs, id_col, text_col, least, similar)
-    found = join_sized(occurrences.drop("sim"), keepers, "id", "inner", 48)
+    occurrences, keepers = line_groups(docs, id_col, text_col, least, similar, every)
+    found = join_sized(occurrences.drop("sim", "size", "keys"), keepers, "id", "inner", 48)
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_key") == F.col("first.doc_key")) & (F.col("line_no") == F.col("first.line_no"))
     gone = materialize(found.where(~kept).groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc"), "gone-lines")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

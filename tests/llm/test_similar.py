@@ -164,6 +164,22 @@ def test_lines_odd_rows(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_every_line_by_edit_similarity(spark):
+    """Recall against edit similarity alone: one letter replaced in lines of five words and more."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    lines = [" ".join(r.choice(words) for _ in range(r.randint(5, 40))) for _ in range(300)]
+    marred = []
+    for line in lines:
+        at = r.randrange(len(line))
+        marred.append(line[:at] + "z" + line[at + 1 :])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines + marred)], "doc_id long, text string")
+    alike = sum(line_dedup.alike(a, b) for a, b in zip(lines, marred))
+    lost = {x["doc_id"]: x["__lost"] for x in line_dedup.dedup_lines(docs, every=True).collect()}
+    assert sum(lost.values()) >= 0.97 * alike and not any(lost[i] for i in range(300))
+    assert sum(x["__lost"] for x in line_dedup.dedup_lines(docs).collect()) < 0.9 * alike
+
+
 def best_match(pattern, text):
     """Fewest edits between the pattern and any stretch of the text."""
     row = [0] * (len(text) + 1)

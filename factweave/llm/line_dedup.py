@@ -221,7 +221,7 @@ def _every(batches):
         for low, texts in _parts(batch, 1):
             rows, numbers, lines = [], [], []
             for at, text in enumerate(texts):
-                for number, line in _lines(text, MIN_WORDS):
+                for number, line in _lines(text, 1):
                     rows.append(at)
                     numbers.append(number)
                     lines.append(line)
@@ -268,7 +268,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeats or is linked its kept occurrence (id, first: struct of doc_id, doc_key, line_no). With every, least is
     1 and similar is SIMILAR."""
     if every:
-        least, similar = MIN_WORDS, SIMILAR
+        least, similar = 1, SIMILAR
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("doc_key"))
     # A null doc_id sorts after all others.

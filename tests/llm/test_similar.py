@@ -180,6 +180,13 @@ def test_every_line_by_edit_similarity(spark):
     assert sum(x["__lost"] for x in line_dedup.dedup_lines(docs).collect()) < 0.9 * alike
 
 
+def test_every_line_of_few_words(spark):
+    texts = ["All rights reserved.\nok\n\n日本語の長い行は一語と数えられるが重複する。", "ok\nall  rights reserved.\n日本語の長い行は一語と数えられるが重複する。", "日本語の長い行は一語と数えられるが重複した。\nall right reserved.\n\nno"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs, every=True).collect()}
+    assert got == {0: texts[0], 1: "", 2: "\nno"}
+
+
 def best_match(pattern, text):
     """Fewest edits between the pattern and any stretch of the text."""
     row = [0] * (len(text) + 1)

@@ -30,6 +30,19 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
 }
+#: Of SILENT, those whose content is no markup (or is never shown), so that a missing end tag hides the rest of the page.
+RAW = {"script", "style", "template", "noscript", "iframe", "textarea"}
+#: What may stand in a head, in a select, and HTML inside a drawing; and what ends a drawing, as browsers have it.
+HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "noframes", "script", "style", "template", "noscript"}
+SELECT = {"option", "optgroup", "hr", "script", "template"}
+HTML_INSIDE = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+BREAKOUT = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head",
+    "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup",
+    "table", "tt", "u", "ul", "var",
+    # Browsers keep these in the drawing, but in a page they begin a part of it.
+    "article", "aside", "footer", "header", "main", "nav", "section",
+}
 #: An element that a start tag of the key ends, if it is the innermost of its kind.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -44,6 +57,55 @@ def _bucket(text: str, size: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
 
 
+def _after(page: str, tag: str, at: int) -> int | None:
+    """The place behind the next end tag of tag, if there is one."""
+    over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return over.end() if over else None
+
+
+def silent_end(page: str, tag: str, at: int) -> int:
+    """Where a SILENT element ends whose start tag ends at `at`; without an end tag, where browsers end it."""
+    end = len(page)
+    if tag in RAW:
+        return _after(page, tag, at) or end
+    if tag in ("object", "canvas"):
+        # Left open, their content is the page's.
+        return _after(page, tag, at) or at
+    inside: list[str] = []
+    broken = None
+    while found := _token.search(page, at):
+        if tag == "head" and page[at : found.start()].strip():
+            return at
+        at, name = found.end(), (found[2] or "").lower()
+        if not name:
+            continue
+        if found[1]:
+            if name == tag and not inside:
+                return at
+            if name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+            elif name in ("body", "html") or (tag == "select" and name not in SELECT):
+                return found.start()
+            continue
+        if name in RAW or (tag == "head" and name in ("title", "noframes")):
+            if tag == "select" and name not in SELECT:
+                return found.start()
+            if not found[3].endswith("/"):
+                at = _after(page, name, at) or end
+        elif (tag == "head" and name not in HEAD) or (tag == "select" and name not in SELECT):
+            return found.start()
+        elif tag in ("svg", "math") and not found[3].endswith("/"):
+            if name in BREAKOUT and not inside:
+                return found.start()
+            if name in BREAKOUT and broken is None:
+                broken = found.start()  # where the drawing ends if its inner element is left open too
+            if name in HTML_INSIDE or name == tag:
+                inside.append(name)
+    if tag == "head":
+        return at
+    return end if broken is None else broken
+
+
 class Block:
     __slots__ = ("text", "path", "linked", "tag")
 
@@ -106,9 +168,8 @@ def blocks(page: str) -> list[Block]:
                 close()
             continue
         if tag in SILENT and not found[3].endswith("/"):
-            over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             close() if tag not in ("script", "style", "template", "noscript") else None
-            at = over.end() if over else end
+            at = silent_end(page, tag, at)
             continue
         if tag == "br":
             say(" ") if pieces else None

@@ -181,6 +181,20 @@ def test_page_parts():
     assert html_extract.labeller().extract([page, None, "", "   "]) == ["A & B\nOne two three four\nUnclosed é\nLast one, with words.", "", "", ""]
 
 
+def test_silent_elements_without_end_tags():
+    said = lambda page: [b.text for b in html_extract.blocks(page)]
+    body = "<p>One two.</p><p>Three.</p>"
+    assert said(f"<html><head><title>x</title><meta charset=utf-8><script>'<p>'</script><body>{body}") == ["One two.", "Three."]
+    assert said(f"<head><title>x</title>{body}<script>'</head>'</script>") == ["One two.", "Three."]
+    assert said(f"<head><title>x</title></head><body>{body}") == ["One two.", "Three."]
+    assert said("<head><title>x</title>Plain words") == ["Plain words"]
+    for part in ("<svg><path d=1><text>no</text>", "<select><option>no", "<object data=x>", "<canvas>", "<math><mi>no"):
+        assert said(f"<div>{part}{body}</div>") == ["One two.", "Three."]
+        assert said(f"<div>{part}{body}<svg></svg></div>") == ["One two.", "Three."]
+    assert said(f"<svg><foreignObject><div>no</div></foreignObject></svg>{body}") == ["One two.", "Three."]
+    assert said(f"{body}<script>no<p>no") == said(f"{body}<textarea>no<p>no") == ["One two.", "Three."]
+
+
 def test_html_frame(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("*", "1 as text")
     rows = html_extract.extract(pages).collect()

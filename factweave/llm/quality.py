@@ -8,6 +8,11 @@ their contexts are kept in arrays of float32 beside sorted arrays of 64-bit hash
 A text whose perplexity leaves the band of its language is rejected: too high is noise, too low is repetition. The
 band is laid around the median log-perplexity of the texts that pass the plain rules, in robust deviations (from the
 median absolute deviation), and is wider for short texts, whose means scatter more.
+
+Five characters hardly see past a word, so word trigrams of all documents are counted too. A text's words are scored
+by absolute discounting with back-off to two words and one (weights not renormalised), on the counts less those of
+the text itself and its exact copies: else words in an order of their own would predict themselves. Only a band upwards is
+laid on this mean. The tables grow with the text, so both sides are always shuffled by n-gram.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ ORDER = 5
 #: more: up and down. Upwards it is narrow, as noise raises every character's cost; downwards it is wide, as
 #: any text that has copies elsewhere is well predicted.
 UPPER, LOWER = (1.5, 2.0), (6.0, 6.0)
+#: The same for the mean over words, by their number.
+WORD_UPPER = (1.5, 4.0)
+WORD_ORDER, DISCOUNT = 3, 0.75
 #: n-grams and contexts up to which the model is broadcast (12 bytes each); beyond it texts are scored by joins.
 MODEL_ROWS = 8_000_000
 SLICE = 1 << 21
@@ -284,6 +292,116 @@ def load(probabilities: DataFrame, weights: DataFrame) -> Model | None:
     return Model(*arrays)
 
 
+def _word_key(lang: str | None, text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), seed=xxhash.xxh32_intdigest(lang or "")) - (1 << 63)
+
+
+def _word_grams(lang: str, text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(hashes of the n-grams that end at every word, of their contexts) for sizes 1 to WORD_ORDER; text is normalised."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    words = Words(raw, np.array([0, len(raw)]))
+    salt = _salt(lang)
+    h = np.concatenate([np.zeros(WORD_ORDER - 1, U64), words.hashes()])
+    n = len(h) - WORD_ORDER + 1
+    grams, contexts = [], []
+    for size in range(1, WORD_ORDER + 1):
+        for out, first, last in ((grams, WORD_ORDER - size, WORD_ORDER), (contexts, WORD_ORDER - size, WORD_ORDER - 1)):
+            own = np.full(n, salt ^ U64(last - first), U64)
+            for k in range(first, last):
+                own = mix(own * _BASE + h[k : k + n])
+            out.append(own)
+    return grams, contexts
+
+
+def _count_words(batches):
+    """(size, gram, context, n): a task sends each n-gram once, or once for every two million different ones."""
+    held: dict[int, list[np.ndarray]] = {}
+    waiting = 0
+
+    def merged(size: int) -> np.ndarray:
+        rows = np.concatenate(held[size])
+        order = np.argsort(rows[:, 0], kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        out = rows[first]
+        out[:, 2] = np.add.reduceat(rows[:, 2], first)
+        return out
+
+    def send():
+        for size in held:
+            rows = merged(size).view(np.int64)
+            for low in range(0, len(rows), 100_000):
+                part = rows[low : low + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), size, np.int32)), *[pa.array(np.ascontiguousarray(part[:, c])) for c in range(3)]], ["size", "gram", "context", "n"])
+
+    for batch in batches:
+        langs = batch.column(0)
+        for lang, value in zip(langs, batch.column(1)):
+            text = normal(value.as_py())
+            if not text:
+                continue
+            for size, (gram, context) in enumerate(zip(*_word_grams(lang.as_py() or "", text)), 1):
+                _, at, n = np.unique(gram, return_index=True, return_counts=True)
+                held.setdefault(size, []).append(np.stack([gram[at], context[at], n.astype(U64)], axis=1))
+                waiting += len(at)
+            if waiting > 2_000_000:
+                yield from send()
+                held.clear()
+                waiting = 0
+    yield from send()
+
+
+_WORD_ROWS = "key bigint, n int, " + ", ".join(f"gram{k} bigint, own{k} int, around{k} int" for k in range(1, WORD_ORDER + 1))
+
+
+def _words_of(batches):
+    """A text's distinct top word n-grams: how often the text has each, its endings, and their contexts."""
+    names = ["key", "n", *[f"{c}{k}" for k in range(1, WORD_ORDER + 1) for c in ("gram", "own", "around")]]
+    for batch in batches:
+        for lang, value in zip(batch.column(0), batch.column(1)):
+            raw = value.as_py()
+            text = normal(raw)
+            if not text:
+                continue
+            grams, contexts = _word_grams(lang.as_py() or "", text)
+            _, at, n = np.unique(grams[-1], return_index=True, return_counts=True)
+            columns = [pa.array(np.full(len(at), _word_key(lang.as_py(), raw), np.int64)), pa.array(n.astype(np.int32))]
+            for gram, context in zip(grams, contexts):
+                columns.append(pa.array(gram[at].view(np.int64)))
+                for h in (gram, context):
+                    _, back, many = np.unique(h, return_inverse=True, return_counts=True)
+                    columns.append(pa.array(many[back][at].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def word_scores(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, word_logp): the mean log-probability of the words of every text, without what it and its exact copies count.
+    copies (key, copies) is materialized."""
+    counted = materialize(docs.select("lang", "text").mapInArrow(_count_words, "size int, gram bigint, context bigint, n bigint"), "word-counts")
+    left = docs.select("lang", "text").mapInArrow(_words_of, _WORD_ROWS)
+    left = join_sized(left, copies, "key", "inner", 24).withColumn("sum", F.lit(0.0))
+    parts = []
+    for k in range(WORD_ORDER, 0, -1):
+        grams = materialize(counted.where(F.col("size") == k).groupBy("gram", "context").agg(F.sum("n").alias("total")), f"words{k}")
+        around = materialize(grams.groupBy("context").agg(F.sum("total").alias("context_total"), F.count("*").alias("types")), f"word-contexts{k}")
+        model = materialize(join_sized(grams, around, "context", "inner", 32).select(F.col("gram").alias(f"gram{k}"), "total", "context_total", "types"), f"word-model{k}")
+        met = left.join(model, f"gram{k}")
+        others, room = F.col("total") - F.col("copies") * F.col(f"own{k}"), F.col("context_total") - F.col("copies") * F.col(f"around{k}")
+        met = met.withColumn("others", others).withColumn("room", room)
+        below = F.when(F.col("room") > 0, F.log(DISCOUNT * F.least("types", "room") / F.col("room"))).otherwise(0.0)
+        if k == 1:  # an unseen word gets a like share of what the discounts free
+            below = below - F.log(F.col("types") + 1)
+        seen = F.when(F.col("others") > 0, F.log((F.col("others") - DISCOUNT) / F.col("room")))
+        met = materialize(met.select("key", "n", "copies", *[f"{c}{j}" for j in range(1, k) for c in ("gram", "own", "around")], (F.col("sum") + F.coalesce(seen, below)).alias("sum"), (F.col("others") > 0).alias("seen")), f"word-joined{k}")
+        done = met if k == 1 else met.where("seen")
+        parts.append(done.select("key", "n", (F.col("n") * F.col("sum")).alias("v")))
+        left = met.where("not seen").drop("seen")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("key").agg((F.sum("v") / F.sum("n")).alias("word_logp"))
+
+
 def _per_row(marks: np.ndarray, edges: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(marks)])
     return total[edges[1:]] - total[edges[:-1]]
@@ -360,8 +478,8 @@ def _measure(shared):
                         total[rows] = own.log_probabilities(lang, [plain[r] for r in rows])[0]
                 key = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(texts)), batch.column(1).slice(low, len(texts)), pa.array(key), *[pa.array(counts[c].astype(np.int64)) for c in _COUNTS], pa.array(size), pa.array(total)],
-                    ["doc_id", "lang", "key", *_COUNTS, "size", "logp"],
+                    [batch.column(0).slice(low, len(texts)), batch.column(1).slice(low, len(texts)), pa.array(key), *[pa.array(counts[c].astype(np.int64)) for c in _COUNTS], pa.array(size), pa.array(total), pa.array([_word_key(lang, t) for lang, t in zip(langs[low:], texts)], pa.int64())],
+                    ["doc_id", "lang", "key", *_COUNTS, "size", "logp", "word_key"],
                 )
 
     return run
@@ -399,28 +517,34 @@ def quality(docs: DataFrame, upper: tuple[float, float] = UPPER, lower: tuple[fl
     row of docs (doc_id, lang, text).
 
     kept is false if base_failed, or if the mean negative log-probability of the text's characters (log_ppl) leaves
-    its language's band. Null and blank texts have no words, so they fail. A null lang is a language of its
+    its language's band, or that of its words its band. Null and blank texts have no words, so they fail. A null lang is a language of its
     own. A language with no text that passes the plain rules has no band and rejects nothing more. Repeated
-    rows get a row each. Two passes over the texts, which never move; what moves is n-gram counts and one
-    small row for each document.
+    rows get a row each. Four passes over the texts, which never move; what moves is n-gram counts, one
+    small row for each document and one for each different word trigram of a document.
     """
     docs = docs.select("doc_id", "lang", "text")
     probabilities, weights = fit(docs)
     model = load(probabilities, weights)
     shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.mapInArrow(_measure(shared), f"doc_id {kind}, lang string, key bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", size bigint, logp double")
+    measured = docs.mapInArrow(_measure(shared), f"doc_id {kind}, lang string, key bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", size bigint, logp double, word_key bigint")
     if model is None:
         scores = materialize(score_by_joins(docs, probabilities, weights), "scores")
         measured = measured.drop("logp").withColumn("lang", F.coalesce("lang", F.lit(""))).join(scores, ["key", "lang"], "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = materialize(measured.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).withColumn("log_ppl", F.when(F.col("size") > 0, -F.col("logp") / F.col("size"))), "measured")
-    sound = measured.where("not base_failed").select("lang", "log_ppl")
-    middle = materialize(sound.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("middle")), "middle")
-    spread = sound.join(F.broadcast(middle.limit(100_000)), "lang").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")), 0.5, 10_000).alias("mad"), F.first("middle").alias("middle"))
-    bands = join_sized(measured, materialize(spread, "bands"), "lang", "left", 64)
-    deviation, off = 1.4826 * F.col("mad"), F.col("log_ppl") - F.col("middle")
-    high = off > upper[0] * deviation + upper[1] / F.sqrt("size")
-    low = -off > lower[0] * deviation + lower[1] / F.sqrt("size")
-    outside = F.coalesce(high | low, F.lit(False))
+    copies = materialize(measured.groupBy(F.col("word_key").alias("key")).agg(F.count("*").alias("copies")), "copies")
+    words = materialize(word_scores(docs, copies).select(F.col("key").alias("word_key"), (-F.col("word_logp")).alias("word_ppl")), "word-scores")
+    measured = materialize(join_sized(measured, words, "word_key", "left", 24), "scored")
+    sound = measured.where("not base_failed")
+    both = ("log_ppl", "word_ppl")
+    middle = materialize(sound.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_middle") for c in both]), "middle")
+    apart = join_sized(sound, middle, "lang", "inner", 64)
+    spread = apart.groupBy("lang").agg(*[x for c in both for x in (F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_middle")), 0.5, 10_000).alias(f"{c}_mad"), F.first(f"{c}_middle").alias(f"{c}_middle"))])
+    bands = join_sized(measured, materialize(spread, "bands"), "lang", "left", 96)
+    deviation, off = ({c: f(c) for c in both} for f in (lambda c: 1.4826 * F.col(f"{c}_mad"), lambda c: F.col(c) - F.col(f"{c}_middle")))
+    high = off["log_ppl"] > upper[0] * deviation["log_ppl"] + upper[1] / F.sqrt("size")
+    low = -off["log_ppl"] > lower[0] * deviation["log_ppl"] + lower[1] / F.sqrt("size")
+    jumbled = off["word_ppl"] > WORD_UPPER[0] * deviation["word_ppl"] + WORD_UPPER[1] / F.sqrt("n_words")
+    outside = F.coalesce(high | low, F.lit(False)) | F.coalesce(jumbled, F.lit(False))
     return bands.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & ~outside).alias("kept"), "log_ppl")

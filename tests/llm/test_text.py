@@ -106,6 +106,24 @@ def test_perplexity_bands_reject_noise(spark):
     assert all(kept[i] for i in range(150)) and not any(kept[150 + i] for i in range(3))
 
 
+def test_word_order_tells(spark):
+    """Texts of the words of the others, each word spelled as there, in an order of their own."""
+    r = random.Random(6)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "so", "ti") for c in ("n", "s", "m", "l")]
+    after = {w: [r.choice(words) for _ in range(4)] for w in words}
+    plain = []
+    for _ in range(120):
+        own = [r.choice(words)]
+        while len(own) < 80:
+            own.append(r.choice(after[own[-1]]))
+        plain.append(own)
+    jumbled = [r.sample(x, len(x)) for x in plain[:4]]
+    docs = spark.createDataFrame([(i, "en", " ".join(x)) for i, x in enumerate(plain + jumbled)], "doc_id long, lang string, text string")
+    kept = {x["doc_id"]: x["kept"] for x in quality.quality(docs, (1e9, 0.0), (1e9, 0.0)).where("not base_failed").collect()}
+    assert sum(kept[i] for i in range(120) if i in kept) >= 110
+    assert not any(kept[i] for i in range(120, 124) if i in kept) and any(i in kept for i in range(120, 124))
+
+
 def test_plain_rules(spark, odd, empty):
     rows = quality.quality(odd).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}

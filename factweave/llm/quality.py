@@ -178,7 +178,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # Where counts of counts are missing, the discounts fall back to half a count.
         discount = [F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * share(F.col(f"n{i + 1}"), F.col(f"n{i}"))))).otherwise(F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)]
         rate = ones.select("lang", "types", *discount)
-        grams = table[k].withColumn("context", F.expr(f"substring(gram, 1, {k - 1})")).join(F.broadcast(rate.limit(100_000)), "lang")
+        grams = join_sized(table[k].withColumn("context", F.expr(f"substring(gram, 1, {k - 1})")), materialize(rate, f"rate{k}"), "lang", "inner", 64)
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         contexts = materialize(grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"), F.max("types").alias("types")).withColumn("weight", F.col("freed") / F.col("total")), f"contexts{k}")
         joined = grams.drop("types").join(contexts, ["lang", "context"])

@@ -589,6 +589,8 @@ def dedup_hash(spark, sf_dir):
     return samples.facts(spark, sf_dir).withColumn("h", content_hash()).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n")
 
 
+#: Quotes that are broadcast at once, about; more are worked off in further passes over the documents.
+QUOTES_AT_ONCE = 100_000
 _GUARD = """CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'folded' END"""
 
 
@@ -600,7 +602,12 @@ def quote_guard_exact(spark, sf_dir):
     """H1 tiers 1 and 2, J12, PF8: a stated set of quotes against all documents."""
     quotes = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), text.guard_form(F.col("text")).alias("nq"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), text.guard_form(F.col("text")).alias("ns"))
-    met = docs.join(F.broadcast(quotes.limit(100_000)), F.contains("ns", "nq"))
+    blocks = -(-quotes.count() // QUOTES_AT_ONCE) or 1
+    met = None
+    for at in range(blocks):
+        own = quotes.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == at) if blocks > 1 else quotes
+        part = docs.join(F.broadcast(own), F.contains("ns", "nq"))
+        met = part if met is None else met.unionByName(part)
     return guard.verify_quotes(met).select("item_id", "doc_id", "quote_match", "quote_char_start")
 
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from factweave import queries
 from factweave.functions import keys
 from factweave.operators import chunking, guard, reconcile, registry
 from factweave.operators.facts import first_by_hash, normalize
@@ -198,3 +199,10 @@ def test_files(spark, tmp_path):
 
     got = {r["stem"]: r["content_sha256"] for r in readers.files(spark, str(tmp_path)).collect()}
     assert got == {"b.PDF": hashlib.sha256(b"x").hexdigest(), "a": hashlib.sha256(b"y").hexdigest()}
+
+
+def test_quotes_beyond_one_broadcast(spark, monkeypatch):
+    found = lambda: sorted(map(tuple, queries.QUERIES["quote_guard_exact"](spark, "/root/testdata/sf0.001").collect()))
+    whole = found()
+    monkeypatch.setattr(queries, "QUOTES_AT_ONCE", 7)
+    assert whole and found() == whole

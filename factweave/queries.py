@@ -643,7 +643,7 @@ def embedding_top1(spark, sf_dir):
 
 @query()
 def registry_link(spark, sf_dir):
-    """J13, J15, O6, AG9, SNK7, SNK8: customer names marred, linked to supplier names and to each other."""
+    """J13, J15, O6, AG9, SNK7, SNK8: supplier names marred and nation names, linked to supplier names; what links to none is registered."""
     known = _table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("key"))
     marred = _table(spark, sf_dir, "supplier").select(F.concat(F.lower("s_name"), F.lit(" x")).alias("key")).unionByName(_table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key")))
     links = registry.best_links(marred, known, reconcile.SETTINGS.entity_score)

@@ -32,16 +32,18 @@ from tokenizers import Tokenizer
 from .storage import materialize
 
 MAGIC = b"FWIDS\x01"
-#: Fitting the dictionary: documents (one of least id hash in each of SAMPLES hash classes) and characters of each.
+#: Fitting the dictionary: documents (that of least id hash in each of SAMPLES hash classes) and characters of each.
 SAMPLES, SAMPLE_CHARS = 512, 4096
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Bytes of frames after which a shard is closed.
 SHARD_BYTES = 1 << 20
-CACHE = 500_000
+#: Runs that a worker remembers (some 200 bytes each).
+CACHE = 1_200_000
 
 #: Characters that Python's split takes for white space but Unicode does not.
 _odd = re.compile("[\x1c-\x1f]")
+_small = re.compile("[a-zß-öø-ÿ]+")
 
 
 class _Letters(dict):
@@ -55,60 +57,61 @@ class _Letters(dict):
         return out
 
 
+class _Runs(dict):
+    """The ids of every run met so far."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, run: str) -> bytes:
+        self[run] = out = self.make(run)
+        return out
+
+
 class Encoder:
     """A tokenizer that encodes each run between white space once and remembers it.
 
     The tokenizer drops white space and merges within words, so a text's ids are those of its runs, one after
-    the other; `fits` holds that against the tokenizer's own settings, and texts are encoded whole otherwise.
+    the other; `fits` holds that against the tokenizer's own settings, and texts are encoded whole otherwise. So is a
+    text that holds one of the tokenizer's added tokens, as those are found before anything is cut.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(self.type.itemsize, "little") for i in range(self.size)]
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.known = _Runs(self._run)
         self.letters = _Letters(self.tokenizer.pre_tokenizer)
         self.fits = all(self._whole(t) == self._whole(t.split()[0]) + self._whole(t.split()[1]) for t in ("ab cd", "ab\nécd", "It's  1,5!", "a \t'S"))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _pieces(self, text: str) -> bytes:
-        tokenize = self.tokenizer.model.tokenize
-        return np.array([t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for t in tokenize(piece)], self.type).tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a run of letters as the one piece that it is; None if it is no longer letters once normalised."""
-        text = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-        if not text.isalpha():
-            return None
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.letters))], self.type).tobytes()
+    def _ids(self, piece: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenizer.model.tokenize(piece)])
 
     def _run(self, run: str) -> bytes:
-        marked = run[-1] in ".,;:!?"
-        head = run[:-1] if marked else run
-        if head.isalpha():
-            ids = self.known.get(head) if marked else None
-            if ids is None and (ids := self._word(head)) is not None:
-                self.known[head] = ids
-            if ids is not None:
-                return ids + self._pieces(run[-1]) if marked else ids
-        return self._pieces(self.tokenizer.normalizer.normalize_str(run))
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():
+            return self.known[run[:-1]] + self.known[run[-1]]
+        # Small letters of Latin-1 are as the tokenizer's own normalizer would leave them.
+        text = run if _small.fullmatch(run) else self.tokenizer.normalizer.normalize_str(run)
+        if text.isalpha():  # the one piece that it is
+            return self._ids(text if text.isascii() else text.translate(self.letters))
+        return b"".join([self._ids(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Every text's ids, little-endian, of self.type."""
         if len(self.known) > CACHE:
-            self.known = {}
-        known, out = self.known, []
+            self.known.clear()
+        known, out = self.known.__getitem__, []
         for text in texts:
-            if not self.fits or _odd.search(text):
+            if not self.fits or _odd.search(text) or self.added.search(text):
                 out.append(np.array(self._whole(text), self.type).tobytes())
-                continue
-            runs = text.split()
-            for run in set(runs).difference(known):
-                known[run] = self._run(run)
-            out.append(b"".join(map(known.__getitem__, runs)))
+            else:
+                out.append(b"".join(map(known, (text.lower() if text.isascii() else text).split())))
         return out
 
 
@@ -121,15 +124,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """The shared dictionary, from at most SAMPLES * SAMPLE_CHARS characters of documents; empty if too few."""
-    own = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("at"), "text").where(F.length("text") > 0).withColumn("class", F.pmod("at", F.lit(SAMPLES)))
-    chosen = own.groupBy("class").agg(F.min("at").alias("at"))
-    keys = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "class long, at long")
-    rows = own.join(F.broadcast(keys), ["class", "at"]).groupBy("class").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).orderBy("class").collect()
-    samples = encoder(tokenizer).encode([r["text"] for r in rows])
+def train_dictionary(docs: DataFrame, tokenizer: str, samples: int = SAMPLES, chars: int = SAMPLE_CHARS) -> bytes:
+    """The shared dictionary, from at most samples * chars characters of documents; empty if too few.
+
+    It is only a help to compression: whatever it holds, the ids read back are those of the whole texts."""
+    at = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
+    chosen = docs.select(at.alias("at")).groupBy(F.pmod("at", F.lit(samples))).agg(F.min("at").alias("at"))
+    keys = docs.sparkSession.createDataFrame([(r["at"],) for r in chosen.collect()], "at long")
+    rows = docs.select(at.alias("at"), F.substring("text", 1, chars).alias("text")).join(F.broadcast(keys), "at").groupBy("at").agg(F.min("text").alias("text")).where("text <> ''").orderBy("at").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, encoder(tokenizer).encode([r["text"] for r in rows])).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         return b""
 

@@ -65,9 +65,9 @@ def test_bpe_frame(spark, odd, empty, library):
 @given(st.text(max_size=60), st.text(alphabet="ab \n'sT,é5́\x1c", max_size=60))
 def test_word_encoder_agrees_with_library(a, b):
     own, library = tokenfile.encoder(WORDS), Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     assert own.fits
-    for text, raw in zip([a, b], own.encode([a, b])):
+    texts = [a, b, f"{a}<|endoftext|>{b}", f"{b} <|startoftext|>\n<|ENDOFTEXT|>{a}", "ΟΔΟΣ. ΟΔΟΣ İI ÀÖ× ÿß µ"]
+    for text, raw in zip(texts, own.encode(texts)):
         assert np.frombuffer(raw, own.type).tolist() == library.encode(text, add_special_tokens=False).ids
 
 

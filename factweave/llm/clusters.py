@@ -4,8 +4,9 @@ Items meet in buckets (one item in many). Candidates come in three rounds, each
 and by connected components, and each only between items that are not connected yet:
 
 1. every item with the one bucket leader whose sketch is nearest to its own;
-2. every item with the leaders of all its buckets;
-3. what is left: all pairs of a bucket that span two groups and whose sketches are near enough.
+2. every item with the leaders of all its buckets (at once with the first, if items are in few buckets);
+3. what is left: all pairs of a bucket that span two groups and whose sketches are near enough, each in the least
+   bucket that both are in.
 
 Two items that share a bucket and pass `near` are compared, or are already connected by verified links;
 so the groups are those of the full graph of such links, while large groups of copies fall together in
@@ -53,12 +54,15 @@ def clusters(
     distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     near: int,
     verify: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], None] | None = None,
+    nearest: bool = True,
 ) -> tuple[DataFrame | None, DataFrame | None]:
-    """(groups (id, root), links (a, b)) of the items in buckets (key, id).
+    """(groups (id, root), links (a, b)) of the items in buckets (key, id); a row may stand there more than once.
 
     sketches (id, columns) is a materialized table of all items; it is joined only to items that share a bucket.
     distance(x, y) is the column that compares two sketches, x("s") being an item's sketch column s; pairs over near
-    are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike. (None, None) if no two items are.
+    are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike; before its first call, prepare gets all ids (id) that
+    may come in pairs. Without nearest the first two rounds are one. (None, None) if no two items are.
     """
     sketch = [c for c in sketches.columns if c != "id"]
     width = 24 + 8 * len(sketch)
@@ -71,11 +75,16 @@ def clusters(
         return distance(lambda c: F.col(f"{x}_{c}"), lambda c: F.col(f"{y}_{c}"))
 
     w = Window.partitionBy("key")
+    shared = buckets.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo <> hi")
+    shared = materialize(shared.select("key", "id").distinct(), "shared")
     lead = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).over(w)
-    met = buckets.withColumn("n", F.count("*").over(w)).where("n > 1").withColumn("lead", lead)
-    met = materialize(met.select("key", "id", F.col("lead.id").alias("lead")), "buckets")
+    met = materialize(shared.withColumn("n", F.count("*").over(w)).withColumn("lead", lead).select("key", "id", "n", F.col("lead.id").alias("lead")), "buckets")
     star = materialize(met.where("id <> lead").select("id", "lead").distinct(), "star-pairs")
     star = materialize(sketched(sketched(star, "id"), "lead").select("id", "lead", far("id", "lead").alias("far")).where(F.col("far") <= near), "star")
+    # The pair of a bucket of two is a pair with the leader.
+    met = met.where("n > 2")
+    if prepare is not None:
+        prepare(materialize(star.select("id").unionByName(star.select(F.col("lead").alias("id"))).unionByName(met.select("id")).distinct(), "to-compare"))
     first = star.groupBy("id").agg(F.min(F.struct("far", "lead")).alias("l")).select("id", F.col("l.lead").alias("lead"))
 
     def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -100,9 +109,12 @@ def clusters(
         base = found if groups is None else found.unionByName(groups.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
         groups = materialize(components(base), "groups")
 
-    add(pairs(first, "id", "lead"), "nearest")
-    rest = star.join(first, ["id", "lead"], "left_anti")
-    add(pairs(apart(rest, groups, "id", "lead"), "id", "lead"), "leaders")
+    if nearest:
+        add(pairs(first, "id", "lead"), "nearest")
+        rest = star.join(first, ["id", "lead"], "left_anti")
+        add(pairs(apart(rest, groups, "id", "lead"), "id", "lead"), "leaders")
+    else:
+        add(pairs(star, "id", "lead"), "leaders")
 
     # A bucket all of one group is done; so is a pair with the leader, which was compared above.
     own = met
@@ -111,8 +123,11 @@ def clusters(
     else:
         own = own.withColumn("root", F.col("id"))
     spread = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    own = materialize(sketched(own.join(spread, "key", "left_semi"), "id"), "spread")
+    own = materialize(own.join(spread, "key", "left_semi"), "spread-ids")
+    held = materialize(sketched(own.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id"), "held")
+    own = own.join(held, "id")
     x, y = (own.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in own.columns if c != "key"]) for p in ("x", "y"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near))
+    met_here = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
+    cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near) & met_here)
     add(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "rest")
     return groups, links

@@ -11,9 +11,13 @@ That reading of the method misses most lines that are alike, so the query and th
 that are not blank take part, and lines of any script are linked by edit similarity alone. Candidates share a key:
 
 * lines of 9 to 19 characters (one edit at most): the line itself or it less one character, which finds every pair;
-* longer lines: TABLES keys of ROWS minimum hashes each over character n-grams, among lines of one class of lengths
-  (a line that may be alike to one of the next class has keys there too). A pair is compared unless its
-  lengths rule it out or, over SHORT characters, more than NEAR of 63 bits of its minimum hashes differ.
+* longer lines: TABLES keys of 64 bits, among lines of one class of lengths (a line that may be alike to one of the
+  next class has keys there too). A key joins a minimum hash over the character n-grams of each of PARTS equal
+  parts of the line (SHORT_PARTS under SHORT characters), so lines that only have a long passage in common rarely share
+  one. In the classes of long lines a part of the n-grams that their hashes choose stands for all.
+
+A pair is compared unless its lengths rule it out or, over SHORT characters, more than NEAR of 32 minimum hashes differ in
+two bits. As a key asks all parts of a line to agree, the pairs to compare do not grow with the square of the lines.
 
 Lines under 9 characters are alike only if equal.
 """
@@ -37,12 +41,15 @@ MIN_WORDS = 5
 BITS = 3
 SIMILAR = 0.9
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-#: Set by the distances measured between lines of sf0.1 and copies of them at edit similarity 0.905 (see README).
-TABLES, ROWS, NEAR = 21, 3, 26
+#: Set by the share of alike pairs of sf0.1 that meet (see README).
+TABLES, PARTS, SHORT_PARTS, NEAR = 12, 4, 2, 16
 #: Least lengths of the classes of lines. The first, under SHORT characters, has shorter n-grams.
 EDGES = np.array([20, 40, *(int(60 * 1.5**i) for i in range(40))])
 SHORT = 40
 GRAM, SHORT_GRAM = 6, 4
+#: One n-gram in 2^LEVEL counts, so that 80 are left of the shortest line of a class; of parts with fewer than FEW left, all.
+LEVEL = np.maximum(0, np.floor(np.log2(EDGES / 80))).astype(np.int64)
+FEW = 5
 #: Characters of text worked on at a time.
 SLICE = 1 << 18
 
@@ -78,55 +85,74 @@ def simhash(lines: list[bytes]) -> np.ndarray:
 
 
 _draw = np.random.default_rng(20)
-_TIMES, _PLUS = (_draw.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
+_TIMES, _PLUS = (_draw.integers(0, 1 << 32, TABLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
 
 
-def _minima(lines: list[str], gram: int) -> np.ndarray:
-    """TABLES * ROWS minimum hashes over the character n-grams of every line of gram characters at least."""
+def _minima(lines: list[str], gram: int, level: np.ndarray, parts: int) -> np.ndarray:
+    """(lines, TABLES, parts) minimum hashes over the character n-grams of every part of the lines, each of gram + parts
+    characters at least."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     n = len(points) - gram + 1
-    h = np.zeros(n, U64)
-    for k in range(gram):
-        h = h * U64(0x9E3779B97F4A7C15) + points[k : n + k] + U64(1)
+    h = points[:n] + U64(1)
+    for k in range(1, gram):
+        h *= U64(0x9E3779B97F4A7C15)
+        h += points[k : n + k]
     whole = np.ones(len(points), bool)
     for k in range(1, gram):
         whole[np.cumsum(sizes) - k] = False
     h = mix(h[whole[:n]])
-    first = np.cumsum(sizes - gram + 1) - (sizes - gram + 1)
+    ends = (sizes - gram + 1)[:, None] * np.arange(1, parts + 1) // parts
+    many = np.diff(ends, axis=1, prepend=0).ravel()
+    first = np.cumsum(many) - many
+    if level.any():
+        mask = np.repeat((U64(1) << np.repeat(level, parts).astype(U64)) - U64(1), many)
+        use = (h & mask) == 0
+        left = np.add.reduceat(use, first, dtype=np.int64)
+        if (few := left < FEW).any():
+            use |= np.repeat(few, many)
+            left = np.where(few, many, left)
+        h, first = h[use], np.cumsum(left) - left
     low, high = h.astype(np.uint32), (h >> U64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(low * a + high * b, first) for a, b in zip(_TIMES, _PLUS)], axis=1)
-
-
-def candidate_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(63 bits of minimum hashes, 0 under SHORT; the 32-bit keys) of every normalised line."""
-    sim, keys = np.zeros(len(lines), U64), [[] for _ in lines]
-    classes: dict[int, list[int]] = {}
-    for at, line in enumerate(lines):
-        n = len(line)
-        if 9 <= n < EDGES[0]:
-            cuts = {line, *(line[:i] + line[i + 1 :] for i in range(n))}
-            keys[at].append(np.array([xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in cuts], np.uint32))
-        own, over = np.searchsorted(EDGES, [n, int(n / SIMILAR + 1e-9)], side="right") - 1
-        for c in {int(own), int(over)} - {-1}:
-            classes.setdefault(c, []).append(at)
-    for gram, chosen in ((SHORT_GRAM, [c for c in classes if c == 0]), (GRAM, [c for c in classes if c])):
-        rows = sorted({at for c in chosen for at in classes[c]})
-        if not rows:
+    out = np.empty((len(lines), TABLES, parts), np.uint32)
+    for k in range(TABLES):
+        out[:, k] = np.minimum.reduceat(low * _TIMES[k] + high * _PLUS[k], first).reshape(-1, parts)
+    return out
+
+
+def candidate_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two bits of 32 minimum hashes, 0 under SHORT; level of its class; number of keys) of every normalised line, and all
+    its keys, line by line."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    own, over = (np.searchsorted(EDGES, n, side="right") - 1 for n in (size, (size / SIMILAR + 1e-9).astype(np.int64)))
+    sim = np.zeros(len(lines), U64)
+    owners, keys = [], []
+    for at in np.flatnonzero((size >= 9) & (own < 0)):
+        line = lines[at]
+        cuts = {line, *(line[:i] + line[i + 1 :] for i in range(len(line)))}
+        owners.append(np.full(len(cuts), at))
+        keys.append(np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in cuts], U64))
+    both = np.concatenate([np.arange(len(lines)), np.flatnonzero(over > own)])
+    cls = np.concatenate([own, over[over > own]])
+    for gram, parts, chosen in ((SHORT_GRAM, SHORT_PARTS, cls == 0), (GRAM, PARTS, cls > 0)):
+        at, c = both[chosen], cls[chosen]
+        if not len(at):
             continue
-        found = _minima([lines[at] for at in rows], gram)
-        place = {at: i for i, at in enumerate(rows)}
+        found = _minima([lines[i] for i in at.tolist()], gram, LEVEL[c], parts)
         if gram == GRAM:
-            bits = (found * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(U64)
-            sim[rows] = np.where([len(lines[at]) >= SHORT for at in rows], (bits << np.arange(TABLES * ROWS, dtype=U64)).sum(axis=1, dtype=U64), U64(0))
-        for c in chosen:
-            part = found[[place[at] for at in classes[c]]].reshape(-1, TABLES, ROWS).astype(U64)
-            h = np.broadcast_to(np.arange(TABLES, dtype=U64) + U64(1000 * c), part.shape[:2])
-            for r in range(ROWS):
-                h = mix(h * U64(31) + part[:, :, r])
-            for at, own in zip(classes[c], h.astype(np.uint32)):
-                keys[at].append(own)
-    return sim, [np.concatenate(k).view(np.int32) if k else np.zeros(0, np.int32) for k in keys]
+            mine = c == own[at]
+            bits = (found[mine].reshape(-1, TABLES * parts)[:, :32] * np.uint32(0x9E3779B1) >> np.uint32(30)).astype(U64)
+            sim[at[mine]] = np.bitwise_or.reduce(bits << (U64(2) * np.arange(32, dtype=U64)), axis=1)
+        h = np.arange(TABLES, dtype=U64) + (U64(1000) * c.astype(U64))[:, None]
+        for r in range(parts):
+            h = mix(h * U64(31) + found[:, :, r])
+        owners.append(np.repeat(at, TABLES))
+        keys.append(h.ravel())
+    if not keys:
+        return sim, np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), np.zeros(0, U64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return sim, LEVEL[np.maximum(own, 0)], np.bincount(owner, minlength=len(lines)), np.concatenate(keys)[order]
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -168,9 +194,119 @@ def alike(a: str, b: str, similar: float = SIMILAR) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _banded(longer: list[str], shorter: list[str], most: np.ndarray, width: int) -> np.ndarray:
+    """Whether the distance of every pair is at most `most`, by a bit-parallel band that goes down the diagonals of all
+    pairs at once. Each longer text has more than `most` characters, at most that many more than the shorter, and
+    2 most + 1 fits into width words of 64 bits."""
+    bits, pairs = 64 * width, len(longer)
+    m, n = (np.fromiter(map(len, x), np.int64, pairs) for x in (longer, shorter))
+    order = np.argsort(-n, kind="stable")
+    m, n, most = m[order], n[order], most[order]
+    steps = int(n[0])
+    # Row r holds the longer text from column bits - most - 1 on, so that columns i to i + bits are step i's band.
+    across = np.zeros((pairs, bits + steps), np.uint32)
+    down = np.zeros((pairs, steps), np.uint32)
+    for r, at in enumerate(order.tolist()):
+        text = np.frombuffer(longer[at].encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+        begin = bits - int(most[r]) - 1
+        across[r, begin : begin + m[r]] = text[: steps + bits - begin]
+        down[r, : n[r]] = np.frombuffer(shorter[at].encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    top = bits - 1 - most
+    word, full = np.arange(width), ~U64(0)
+    plus = np.where(word * 64 >= top[:, None], full, np.where((word + 1) * 64 <= top[:, None], U64(0), full << (top % 64).astype(U64)[:, None]))
+    plus, minus = [plus[:, w].copy() for w in range(width)], [np.zeros(pairs, U64) for _ in range(width)]
+    score, turn = most.copy(), m - most
+    early = int(turn.min())
+    ends = np.searchsorted(-n, -np.arange(steps), side="left")  # rows of more than i characters come first
+    for i in range(steps):
+        live = int(ends[i])
+        if live < len(plus[0]):
+            plus, minus = [x[:live] for x in plus], [x[:live] for x in minus]
+        same = np.packbits(across[:live, i : i + bits] == down[:live, i : i + 1], axis=1, bitorder="little").view(U64)
+        zero, up, low, carry = [], [], [], None
+        for w in range(width):
+            eq, p, v = same[:, w], plus[w], minus[w]
+            part = eq & p
+            total = part + p
+            over = total < p
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(U64)
+            d = (total ^ p) | eq | v
+            zero.append(d)
+            up.append(v | ~(d | p))
+            low.append(d & p)
+        if i < early:
+            score[:live] += 1 - (zero[-1] >> U64(63)).astype(np.int64)
+        else:
+            score[:live] += _last_row(i, turn[:live], bits, zero, up, low)
+        for w in range(width):
+            down_shift = zero[w] >> U64(1)
+            if w + 1 < width:
+                down_shift |= zero[w + 1] << U64(63)
+            plus[w], minus[w] = low[w] | ~(down_shift | up[w]), down_shift & up[w]
+    out = np.empty(pairs, bool)
+    out[order] = score <= most
+    return out
+
+
+def _last_row(i: int, turn: np.ndarray, bits: int, zero: list, up: list, low: list) -> np.ndarray:
+    """What step i adds to the score: along the band's last diagonal, then along the last row."""
+    going = turn > i
+    place = np.where(going, bits - 1, bits - 2 - (i - turn))
+    at, shift, row = place // 64, (place % 64).astype(U64), np.arange(len(turn))
+
+    def bit(words):
+        return ((np.stack(words)[at, row] >> shift) & U64(1)).astype(np.int64)
+
+    return np.where(going, 1 - bit(zero), bit(up) - bit(low))
+
+
+def alike_pairs(a: list[str], b: list[str], similar: float = SIMILAR) -> np.ndarray:
+    """alike() of every pair, many at once."""
+    out = np.zeros(len(a), bool)
+    waiting: dict[int, list[tuple[int, str, str, int]]] = {}
+    for at, (x, y) in enumerate(zip(a, b)):
+        if len(x) < len(y):
+            x, y = y, x
+        most = int((1 - similar) * len(x) + 1e-9)
+        if len(x) - len(y) > most:
+            continue
+        low = _common(x, y)
+        x, y = x[low:], y[low:]
+        high = _common(x[::-1], y[::-1])
+        x, y = x[: len(x) - high], y[: len(y) - high]
+        if len(x) <= most:
+            out[at] = True
+        elif (width := (2 * most + 1) // 64 + 1) <= 8:
+            waiting.setdefault(width, []).append((at, x, y, most))
+        else:
+            out[at] = edit_distance(x, y, most) <= most
+    for width, rows in waiting.items():
+        rows.sort(key=lambda r: len(r[2]))
+        for low in range(0, len(rows), 1024):
+            part = rows[low : low + 1024]
+            out[[r[0] for r in part]] = _banded([r[1] for r in part], [r[2] for r in part], np.array([r[3] for r in part]), width)
+    return out
+
+
 def _lines(text: str | None, least: int) -> list[tuple[int, str]]:
     """(line number, normalised line) of the lines that take part."""
-    return [(i, n) for i, line in enumerate((text or "").split("\n")) if (n := normal(line)).count(" ") >= least - 1 and n]
+    lines = _digit.sub("0", (text or "").lower()).split("\n")
+    return [(i, n) for i, line in enumerate(lines) if (n := " ".join(line.split())) and (least < 2 or n.count(" ") >= least - 1)]
 
 
 def _text_key(text_col: str):
@@ -221,26 +357,29 @@ def _every(batches):
         for low, texts in _parts(batch, 1):
             rows, numbers, lines = [], [], []
             for at, text in enumerate(texts):
-                for number, line in _lines(text, 1):
-                    rows.append(at)
-                    numbers.append(number)
-                    lines.append(line)
+                own = _lines(text, 1)
+                rows += [at] * len(own)
+                numbers += [i for i, _ in own]
+                lines += [line for _, line in own]
             ids = [_line_id(x.encode("utf-8", "surrogatepass")) for x in lines]
             fresh = {}
             for at, own in enumerate(ids):
                 if own not in seen:
                     fresh.setdefault(own, at)
-            sim, keys = candidate_keys([lines[at] for at in fresh.values()])
-            sims, held = [None] * len(lines), [None] * len(lines)
-            for at, x, k in zip(fresh.values(), sim.view(np.int64).tolist(), keys):
-                sims[at], held[at] = x, k
+            chosen = np.fromiter(fresh.values(), np.int64, len(fresh))
+            sim, level, many, keys = candidate_keys([lines[at] for at in fresh.values()])
             seen.update(fresh)
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen = set()  # a line met again only brings its keys again
+            old = np.ones(len(lines), bool)
+            old[chosen] = False
+            sims, levels, ends = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int32), np.zeros(len(lines) + 1, np.int64)
+            sims[chosen], levels[chosen], ends[chosen + 1] = sim.view(np.int64), level, many
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.view(np.int64)))
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sims, pa.int64()), pa.array(list(map(len, lines)), pa.int32()), pa.array(held, pa.list_(pa.int32())), batch.column(0).slice(low, len(texts)).take(rows), batch.column(2).slice(low, len(texts)).take(rows), pa.array(numbers, pa.int32())],
-                ["id", "sim", "size", "keys", "doc_id", "doc_key", "line_no"],
+                [pa.array(ids, pa.int64()), pa.array(sims, mask=old), pa.array(levels, mask=old), pa.array(np.fromiter(map(len, lines), np.int32, len(lines))), held, batch.column(0).slice(low, len(texts)).take(rows), batch.column(2).slice(low, len(texts)).take(rows), pa.array(numbers, pa.int32())],
+                ["id", "sim", "level", "size", "keys", "doc_id", "doc_key", "line_no"],
             )
 
 
@@ -257,8 +396,10 @@ def _texts(least: int):
 def _verify(similar: float):
     def run(batches):
         for batch in batches:
-            keep = [alike(x.as_py(), y.as_py(), similar) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for low in range(0, batch.num_rows, 2048):
+                rows = batch.slice(low, 2048)
+                keep = alike_pairs(rows.column(2).to_pylist(), rows.column(3).to_pylist(), similar)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -275,8 +416,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "line_no")
     ends = f"doc_id {kind}, doc_key bigint, line_no int"
     if every:
-        occurrences = materialize(own.mapInArrow(_every, f"id bigint, sim bigint, size int, keys array<int>, {ends}"), "lines")
-        sketch = [F.max("sim").alias("sim"), F.max("size").alias("size"), F.first("keys", ignorenulls=True).alias("keys")]
+        occurrences = materialize(own.mapInArrow(_every, f"id bigint, sim bigint, level int, size int, keys array<bigint>, {ends}"), "lines")
+        sketch = [F.max("sim").alias("sim"), F.max("level").alias("level"), F.max("size").alias("size")]
     else:
         occurrences = materialize(own.mapInArrow(_occurrences(least), f"id bigint, sim bigint, {ends}"), "lines")
         sketch = [F.first("sim").alias("sim")]
@@ -287,28 +428,33 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.shiftrightunsigned(sim, BLOCKS[x][0]).bitwiseAND((1 << BLOCKS[x][1]) - 1)
 
     def apart(x, y):
-        bits = F.bit_count(x("sim").bitwiseXOR(y("sim")))
+        odd = x("sim").bitwiseXOR(y("sim"))
         if not every:
-            return bits
+            return F.bit_count(odd)
         short, long = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
-        return F.when(short * 10 < long * 9, NEAR + 1).when(short < SHORT, 0).otherwise(bits)
+        hashes = F.bit_count(odd.bitwiseOR(F.shiftrightunsigned(odd, 1)).bitwiseAND(0x5555555555555555))
+        return F.when(short * 10 < long * 9, NEAR + 1).when((short < SHORT) | (x("level") != y("level")), 0).otherwise(hashes)
 
     if every:
-        buckets = distinct.select(F.explode("keys").alias("key"), "id")
+        buckets = occurrences.select(F.explode("keys").alias("key"), "id")
     else:
         tables = [F.shiftleft(F.lit(t).cast("long"), 26).bitwiseOR(F.shiftleft(block(x), 13)).bitwiseOR(block(y)) for t, (x, y) in enumerate(combinations(range(5), 2))]
         buckets = distinct.select(F.explode(F.array(*tables)).alias("key"), "id")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    lines = None
+
+    def prepare(ids: DataFrame) -> None:
+        nonlocal lines
         wanted = materialize(distinct.select("id", "first.doc_id").join(ids, "id", "left_semi"), "wanted")
         holders = join_sized(own, wanted.select("doc_id").distinct(), own["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi", 16)
-        lines = join_sized(holders.select("text").mapInArrow(_texts(least), "id bigint, line string"), wanted.select("id"), "id", "left_semi", 16)
-        lines = materialize(lines.dropDuplicates(["id"]), "line-texts")
+        found = join_sized(holders.select("text").mapInArrow(_texts(least), "id bigint, line string"), wanted.select("id"), "id", "left_semi", 16)
+        lines = materialize(found.dropDuplicates(["id"]), "line-texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a bigint, b bigint")
 
-    groups, _ = clusters(buckets, distinct.select("id", "sim", *(["size"] if every else [])), apart, NEAR if every else BITS, verify)
+    groups, _ = clusters(buckets, distinct.select("id", "sim", *(["level", "size"] if every else [])), apart, NEAR if every else BITS, verify, prepare, nearest=False)
     distinct = distinct.select("id", "first", "n")
     if groups is None:
         return occurrences, materialize(distinct.where("n > 1").select("id", "first"), "keepers")
@@ -328,9 +474,8 @@ def _rewrite(names: list[str], text_col: str):
                 texts, counts, lost = [], [], []
                 for text, numbers in zip(old, rows.column(drop)):
                     gone = set(numbers.as_py() or ())
-                    lines = (text or "").split("\n")
-                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
-                    counts.append(len(lines) if text else 0)
+                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+                    counts.append(text.count("\n") + 1 if text else 0)
                     lost.append(len(gone))
                 columns = [rows.column(i) for i in range(len(names))]
                 columns[at] = pa.array(texts, pa.string())
@@ -355,7 +500,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the lines to take out are too many to broadcast.
     """
     occurrences, keepers = line_groups(docs, id_col, text_col, least, similar, every)
-    found = join_sized(occurrences.drop("sim", "size", "keys"), keepers, "id", "inner", 48)
+    found = join_sized(occurrences.select("id", "doc_id", "doc_key", "line_no"), keepers, "id", "inner", 48)
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_key") == F.col("first.doc_key")) & (F.col("line_no") == F.col("first.line_no"))
     gone = materialize(found.where(~kept).groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc"), "gone-lines")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

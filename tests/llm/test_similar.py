@@ -243,3 +243,17 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.clean(odd, bench).columns == odd.columns
     assert decontaminate.clean(odd, bench).count() == odd.count() - 1
     assert decontaminate.contamination(empty, bench).count() == 0
+
+
+def test_alike_pairs_agree_with_one_by_one():
+    r = random.Random(3)
+    a, b = [], []
+    for n in [1, 5, 9, 12, 20, 30, 60, 100, 319, 320, 330, 700, 3000] * 12:
+        x = "".join(r.choice(r.choice(["ab", "abcdefgh", "日本語é"])) for _ in range(n))
+        y = list(x)
+        for _ in range(int(n * r.choice([0, 0.02, 0.05, 0.09, 0.1, 0.11, 0.2])) + r.choice([0, 1])):
+            k = r.randrange(len(y)) if y else 0
+            y[k : k + 1] = r.choice([[], ["z"], [*y[k : k + 1], "q"]])
+        a, b = [*a, x, "".join(y)], [*b, "".join(y), x]
+    assert line_dedup.alike_pairs(a, b).tolist() == [line_dedup.alike(x, y) for x, y in zip(a, b)]
+    assert line_dedup.alike_pairs(["", "a", ""], ["", "", "b"]).tolist() == [True, False, False]

@@ -93,7 +93,7 @@ def classify_block(text: Column, deck: Column) -> Column:
 
 def printed_label(text: Column, page_no: Column) -> Column:
     """The page number printed in the last two or first two lines: roman, or within 12 of the page's place."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(lines)
     last = F.when(n >= 2, F.slice(lines, F.greatest(n - 1, F.lit(1)), F.lit(2))).otherwise(lines)
     marks = F.transform(F.concat(last, F.slice(lines, 1, 2)), lambda x: F.regexp_extract(x, PAGE_LABEL, 1))

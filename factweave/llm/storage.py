@@ -3,24 +3,52 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Right-hand rows up to which a join side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Rows that go to a Python worker at once while a table is written; Spark's 10,000 texts are much for both sides.
+BATCH_ROWS = 1000
 #: Bytes of a broadcast join side at most, whatever its row count.
 BROADCAST_BYTES = 48 << 20
 
 _own: dict[str, str] = {}
+_held: dict[str, object] = {}
+
+
+def held(owner: str, key=None, make=lambda: None):
+    """What an operator keeps in a Python worker, made anew for another key. A worker that is used again holds the state
+    of one operator at a time: what the one before kept goes when the next begins."""
+    _trim()
+    if _held.get("name") != (owner, key):
+        _held.clear()
+        _held["value"] = make()
+        _held["name"] = (owner, key)
+    return _held["value"]
+
+
+def _trim() -> None:
+    """Gives the memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or (unset, as in tests) a fresh one."""
+    """The folder every executor sees: spark.checkpoint.dir, or, where one machine is all there is (tests), a fresh one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="factweave-"))
     return at.rstrip("/")
 
@@ -38,9 +66,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes what materialize wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        if df is not None:
+            _remove(df.sparkSession, df.scratch)
 
 
 def join_sized(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int = 32) -> DataFrame:

@@ -235,6 +235,27 @@ def test_decontamination_blocks_and_windows(spark, monkeypatch):
     assert found == {1: [1], 2: [2], 3: [], 4: []}
 
 
+def test_decontamination_of_short_and_uniform_items(monkeypatch):
+    """Budgets of 10 % hold for items of any length, within a document, however often a q-gram occurs."""
+    r = random.Random(2)
+    for _ in range(60):
+        letters = r.choice(["a", "ab", "abcdefgh "])
+        items = [(i, "".join(r.choice(letters) for _ in range(r.choice([1, 5, 8, 10, 15, 20, 23, 31, 50, 90])))) for i in range(4)]
+        texts = []
+        for _ in range(4):
+            own = list(r.choice(items)[1])
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                k = r.randrange(len(own)) if own else 0
+                own[k : k + 1] = r.choice([[], ["z"], [*own[k : k + 1], "z"]])
+            ends = ["".join(r.choice(letters + "xyz") for _ in range(r.randint(0, 30))) for _ in range(2)]
+            texts.append(decontaminate.normal(ends[0] + "".join(own) + ends[1]))
+        monkeypatch.setattr(decontaminate, "MEETINGS", r.choice([1, 7, 50, 1 << 21]))
+        plain = {i: decontaminate.normal(p) for i, p in items}
+        for text, found in zip(texts, decontaminate.Index(items).matches(texts)):
+            best = {i: best_match(p, text) for i, p in plain.items() if p}
+            assert set(found) == {i for i, n in best.items() if n <= int(0.1 * len(plain[i]) + 1e-9)}
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame([(1, "x" * 300)], "item_id long, text string")

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .storage import held
+
 NONE = np.iinfo(np.int32).max
 #: Pieces of more bytes than this are encoded one at a time.
 WIDE = 64
@@ -252,14 +254,9 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec for a rank file; built once per process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    """The worker's codec for a rank file."""
+    return held("bpe", (path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import join_sized, materialize
+from .storage import discard, join_sized, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         below = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(below, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.where("a < b").distinct(), "edges")
+        old, edges = edges, materialize(small.where("a < b").distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
@@ -78,9 +79,10 @@ def clusters(
     shared = buckets.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo <> hi")
     shared = materialize(shared.select("key", "id").distinct(), "shared")
     lead = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).over(w)
-    met = materialize(shared.withColumn("n", F.count("*").over(w)).withColumn("lead", lead).select("key", "id", "n", F.col("lead.id").alias("lead")), "buckets")
-    star = materialize(met.where("id <> lead").select("id", "lead").distinct(), "star-pairs")
-    star = materialize(sketched(sketched(star, "id"), "lead").select("id", "lead", far("id", "lead").alias("far")).where(F.col("far") <= near), "star")
+    met = buckets = materialize(shared.withColumn("n", F.count("*").over(w)).withColumn("lead", lead).select("key", "id", "n", F.col("lead.id").alias("lead")), "buckets")
+    discard(shared)
+    bare = materialize(met.where("id <> lead").select("id", "lead").distinct(), "star-pairs")
+    star = materialize(sketched(sketched(bare, "id"), "lead").select("id", "lead", far("id", "lead").alias("far")).where(F.col("far") <= near), "star")
     # The pair of a bucket of two is a pair with the leader.
     met = met.where("n > 2")
     if prepare is not None:
@@ -102,12 +104,15 @@ def clusters(
 
     def add(cand: DataFrame, name: str) -> None:
         nonlocal links, groups
-        found = materialize(verify(materialize(cand, f"{name}-pairs")).select("a", "b"), f"{name}-links")
+        cand = materialize(cand, f"{name}-pairs")
+        found = materialize(verify(cand).select("a", "b"), f"{name}-links")
+        discard(cand)
         if found.isEmpty():
             return
         links = found if links is None else links.unionByName(found)
         base = found if groups is None else found.unionByName(groups.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
-        groups = materialize(components(base), "groups")
+        old, groups = groups, materialize(components(base), "groups")
+        discard(old)
 
     if nearest:
         add(pairs(first, "id", "lead"), "nearest")
@@ -125,9 +130,10 @@ def clusters(
     spread = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     own = materialize(own.join(spread, "key", "left_semi"), "spread-ids")
     held = materialize(sketched(own.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id"), "held")
-    own = own.join(held, "id")
-    x, y = (own.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in own.columns if c != "key"]) for p in ("x", "y"))
+    paired = own.join(held, "id")
+    x, y = (paired.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in paired.columns if c != "key"]) for p in ("x", "y"))
     met_here = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
     cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near) & met_here)
     add(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "rest")
+    discard(bare, star, buckets, own, held)
     return groups, links

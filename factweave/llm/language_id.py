@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import held
+
 SAMPLES = 96
 SAMPLE_CHARS = 2048
 BLOCK = 2000
@@ -90,14 +92,8 @@ class Scorer:
         return self.languages[order[0]], min(1.0, 0.5 + 10 * margin), margin
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(content: dict[str, bytes]) -> Scorer:
-    if id(content) not in _scorers:
-        _scorers.clear()
-        _scorers[id(content)] = Scorer(content)
-    return _scorers[id(content)]
+    return held("language", tuple(content.items()), lambda: Scorer(content))
 
 
 def predict(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN) -> DataFrame:

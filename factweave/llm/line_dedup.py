@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import clusters
-from .storage import join_sized, materialize
+from .storage import discard, held, join_sized, materialize
 from .textkernel import U64, Words, mix
 
 MIN_WORDS = 5
@@ -194,6 +194,10 @@ def alike(a: str, b: str, similar: float = SIMILAR) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+#: Pairs for each word of a band's width from which on working side by side pays.
+BESIDE = 250
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common beginning."""
     low, high = 0, min(len(a), len(b))
@@ -291,15 +295,17 @@ def alike_pairs(a: list[str], b: list[str], similar: float = SIMILAR) -> np.ndar
         x, y = x[: len(x) - high], y[: len(y) - high]
         if len(x) <= most:
             out[at] = True
-        elif (width := (2 * most + 1) // 64 + 1) <= 8:
-            waiting.setdefault(width, []).append((at, x, y, most))
         else:
-            out[at] = edit_distance(x, y, most) <= most
+            waiting.setdefault((2 * most + 1) // 64 + 1, []).append((at, x, y, most))
     for width, rows in waiting.items():
         rows.sort(key=lambda r: len(r[2]))
         for low in range(0, len(rows), 1024):
             part = rows[low : low + 1024]
-            out[[r[0] for r in part]] = _banded([r[1] for r in part], [r[2] for r in part], np.array([r[3] for r in part]), width)
+            if len(part) < BESIDE * width:
+                for at, x, y, most in part:
+                    out[at] = edit_distance(x, y, most) <= most
+            else:
+                out[[r[0] for r in part]] = _banded([r[1] for r in part], [r[2] for r in part], np.array([r[3] for r in part]), width)
     return out
 
 
@@ -352,6 +358,7 @@ def _occurrences(least: int):
 
 def _every(batches):
     """All lines that are not blank; a line's keys stand beside its first occurrence in the task only."""
+    held("lines")
     seen: set[int] = set()
     for batch in batches:
         for low, texts in _parts(batch, 1):
@@ -375,10 +382,10 @@ def _every(batches):
             old[chosen] = False
             sims, levels, ends = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int32), np.zeros(len(lines) + 1, np.int64)
             sims[chosen], levels[chosen], ends[chosen + 1] = sim.view(np.int64), level, many
-            held = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.view(np.int64)))
+            per_line = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.view(np.int64)))
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sims, mask=old), pa.array(levels, mask=old), pa.array(np.fromiter(map(len, lines), np.int32, len(lines))), held, batch.column(0).slice(low, len(texts)).take(rows), batch.column(2).slice(low, len(texts)).take(rows), pa.array(numbers, pa.int32())],
+                [pa.array(ids, pa.int64()), pa.array(sims, mask=old), pa.array(levels, mask=old), pa.array(np.fromiter(map(len, lines), np.int32, len(lines))), per_line, batch.column(0).slice(low, len(texts)).take(rows), batch.column(2).slice(low, len(texts)).take(rows), pa.array(numbers, pa.int32())],
                 ["id", "sim", "level", "size", "keys", "doc_id", "doc_key", "line_no"],
             )
 
@@ -393,13 +400,23 @@ def _texts(least: int):
     return run
 
 
+def _gathered(batches, rows: int = 8192, size: int = 1 << 24):
+    """The same rows in batches of about so many rows, or bytes if they are large."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _verify(similar: float):
     def run(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                rows = batch.slice(low, 2048)
-                keep = alike_pairs(rows.column(2).to_pylist(), rows.column(3).to_pylist(), similar)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(keep))
+        for batch in _gathered(batches):
+            keep = alike_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similar)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -449,12 +466,14 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         holders = join_sized(own, wanted.select("doc_id").distinct(), own["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi", 16)
         found = join_sized(holders.select("text").mapInArrow(_texts(least), "id bigint, line string"), wanted.select("id"), "id", "left_semi", 16)
         lines = materialize(found.dropDuplicates(["id"]), "line-texts")
+        discard(wanted)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a bigint, b bigint")
 
     groups, _ = clusters(buckets, distinct.select("id", "sim", *(["level", "size"] if every else [])), apart, NEAR if every else BITS, verify, prepare, nearest=False)
+    discard(lines)
     distinct = distinct.select("id", "first", "n")
     if groups is None:
         return occurrences, materialize(distinct.where("n > 1").select("id", "first"), "keepers")
@@ -467,6 +486,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _rewrite(names: list[str], text_col: str):
     def run(batches):
+        held("lines")
         at, drop = names.index(text_col), len(names)
         for batch in batches:
             for low, old in _parts(batch, at):

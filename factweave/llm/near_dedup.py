@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .clusters import clusters
-from .storage import join_sized, materialize
+from .storage import discard, held, join_sized, materialize
 from .textkernel import U64, Words, mix, sequence_hashes, string_buffers
 
 SHINGLE = 5
@@ -30,8 +30,8 @@ SKETCH = [f"s{i}" for i in range(WORDS)]
 #: At 0.8 an expected 57.6 of 384 coordinates differ in the sketch, deviation 7; 86 is four deviations more (3e-5),
 #: and about as many as differ at 0.70.
 NEAR = 86
-#: Bytes of text for which signatures are computed at a time.
-SLICE = 1 << 21
+#: Bytes of text and rows for which signatures are computed at a time; a row has some K ln K + 2 K darts, however short.
+SLICE, SLICE_ROWS = 1 << 20, 256
 
 _INF = np.finfo(np.float64).max
 
@@ -105,16 +105,18 @@ def _keys(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, column: int):
-    """(low, high, bytes, offsets) of runs of rows of about SLICE bytes."""
+    """(low, high, bytes, offsets) of runs of at most SLICE_ROWS rows of about SLICE bytes."""
     raw, offsets = string_buffers(batch.column(column))
     low = 0
     while low < batch.num_rows:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE, side="right")) - 1)
+        high = min(high, low + SLICE_ROWS)
         yield low, high, raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
 
 
 def _sign(batches):
+    held("near duplicates")
     for batch in batches:
         for low, high, raw, offsets in _slices(batch, 1):
             words = Words(raw, offsets)
@@ -147,6 +149,7 @@ def _tag(batches):
 
 
 def _sets(batches):
+    held("near duplicates")
     for batch in batches:
         for low, high, raw, offsets in _slices(batch, 0):
             words = Words(raw, offsets)
@@ -213,16 +216,20 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
             total = total + F.bit_count(odd.bitwiseOR(F.shiftrightunsigned(odd, 1)).bitwiseAND(0x5555555555555555))
         return total
 
+    spent = []
+
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
         wanted = materialize(texts.select("k1", "doc_id").join(ids, "k1", "left_semi"), "wanted")
         found = join_sized(own, wanted.select("doc_id").distinct(), own["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi", 16)
         bags = found.select("text").mapInArrow(_sets, "id bigint, bag binary").join(wanted.select(F.col("k1").alias("id")), "id", "left_semi").dropDuplicates(["id"])
         bags = materialize(bags, "bags")
+        spent.extend([wanted, bags])
         both = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_alike(similar), "a bigint, b bigint")
 
     groups, _ = clusters(buckets, texts.select(F.col("k1").alias("id"), *SKETCH), differing, NEAR, verify)
+    discard(*spent)
     rows = signed.select("doc_id", "worded", "k1", "k2")
     if groups is None:
         groups = spark.createDataFrame([], "id bigint, root bigint")

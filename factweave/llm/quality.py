@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import join_sized, materialize
+from .storage import held, join_sized, materialize
 from .textkernel import U64, Words, mix, span_hashes, string_buffers
 
 ORDER = 5
@@ -119,6 +119,7 @@ def _runs(batch: pa.RecordBatch, column: int, size: int = SLICE):
 
 
 def _count(batches):
+    held("quality")
     counter = _Counter()
     for batch in batches:
         langs = batch.column(0).to_pylist()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .storage import materialize
+from .storage import held, materialize
 
 MAGIC = b"FWIDS\x01"
 #: Fitting the dictionary: documents (that of least id hash in each of SAMPLES hash classes) and characters of each.
@@ -115,13 +115,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held("token file", path, lambda: Encoder(path))
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, samples: int = SAMPLES, chars: int = SAMPLE_CHARS) -> bytes:

@@ -23,8 +23,8 @@ def rotate(messages: DataFrame, part_turns: int = PART_TURNS, system: tuple[str,
     to train. Parts number runs of part_turns turns from 0 and are to be read one after the other, so that no row
     holds an unbounded conversation. Messages are ordered by turn, then role, then text. A null role is the
     speaker `unknown`, a null text is empty, a null turn comes first, in part 0; a null conv_id is a
-    conversation of its own. Repeated rows are repeated messages. "<|" in a text is written "< |", so no text can
-    pose as a mark. Conversations of system messages alone give no row. Other columns are not read.
+    conversation of its own. Repeated rows are repeated messages. "<|" in a text or a role is written "< |", and a line break in a role as a
+    blank where it names a user, so neither can pose as a mark. Conversations of system messages alone give no row. Other columns are not read.
     """
     own = messages.select(
         F.col("conv_id"), "turn",
@@ -37,7 +37,8 @@ def rotate(messages: DataFrame, part_turns: int = PART_TURNS, system: tuple[str,
     # array_sort puts nothing but null elements last; a null turn inside a struct sorts first.
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
     mine = lambda m: m["role"] == F.col("perspective")
-    head = lambda m: F.when(m["role"].isin(*system), F.lit(f"{START}system\n")).when(mine(m), F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), m["role"], F.lit("\n")))
+    name = lambda m: F.translate(F.replace(m["role"], F.lit("<|"), F.lit("< |")), "\r\n", "  ")
+    head = lambda m: F.when(m["role"].isin(*system), F.lit(f"{START}system\n")).when(mine(m), F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), name(m), F.lit("\n")))
     blocks = seen.withColumn("pieces", F.transform("said", lambda m: F.struct(head(m).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), (mine(m) & ~m["role"].isin(*system)).alias("mine"))))
     walked = F.aggregate(
         "pieces",
@@ -66,7 +67,7 @@ WITH m AS (
   SELECT m.conv_id, s.perspective, m.part, m.turn, m.role, m.text,
          CASE WHEN m.role = 'system' THEN '<|im_start|>system' || chr(10)
               WHEN m.role = s.perspective THEN '<|im_start|>assistant' || chr(10)
-              ELSE '<|im_start|>user name=' || m.role || chr(10) END AS head,
+              ELSE '<|im_start|>user name=' || translate(replace(m.role, '<|', '< |'), chr(13) || chr(10), '  ') || chr(10) END AS head,
          m.text || '<|im_end|>' AS body
   FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id
 ), w AS (

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .text import ascii_digits, norm_ws
 
-# Scale words, currency marks and unit words, in their order of precedence.
+# Scale words by scale, currency marks and unit words in their order of precedence.
 SCALES = {
-    "thousand": 1e3, "trillions": 1e12, "trillion": 1e12, "millions": 1e6, "billions": 1e9, "million": 1e6, "billion": 1e9,
-    "crores": 1e7, "crore": 1e7, "lakhs": 1e5, "lakh": 1e5, "lacs": 1e5, "'000": 1e3, "000s": 1e3, "cr.": 1e7, "lac": 1e5,
-    "mln": 1e6, "bln": 1e9, "cr": 1e7, "mn": 1e6, "bn": 1e9, "tn": 1e12, "k": 1e3, "m": 1e6, "b": 1e9,
+    "thousand": 1e3, "k": 1e3, "'000": 1e3, "000s": 1e3,
+    "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5,
+    "million": 1e6, "millions": 1e6, "mn": 1e6, "mln": 1e6, "m": 1e6,
+    "crore": 1e7, "crores": 1e7, "cr": 1e7, "cr.": 1e7,
+    "billion": 1e9, "billions": 1e9, "bn": 1e9, "bln": 1e9, "b": 1e9,
+    "trillion": 1e12, "trillions": 1e12, "tn": 1e12,
 }
 CURRENCIES = [
     ("INR", r"(?i)₹|\brs\.?\b|\binr\b|\brupees?\b|\bcrores?\b|\blakhs?\b|\blacs?\b"),

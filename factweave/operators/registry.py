@@ -34,13 +34,16 @@ def similar_keys(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     """(key, other, score) of the keys in left and right (column key) that score at least the threshold.
 
     Blocked, not crossed: a score of t needs lengths within t / (200 - t) of each other and a shared character
-    bigram or, for short keys, a shared letter, so pairs meet on (gram, length class).
+    bigram or, if one of the keys is short, a shared letter. So keys of 8 characters and more meet on bigrams, and short
+    ones meet on letters, with those longer ones too that are not too long to be alike.
     """
     ratio = threshold / (200.0 - threshold)
+    letters = lambda name: F.split(name, "")
+    pairs = lambda name: F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(F.col(name), i, F.lit(2)))
 
     def grams(df: DataFrame, name: str) -> DataFrame:
         n = F.length(name)
-        return df.select(F.col("key").alias(name)).distinct().select(name, n.alias(f"{name}_n"), F.explode(F.array_distinct(F.when(n < 8, F.split(name, "")).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(F.col(name), i, F.lit(2)))))).alias("gram"))
+        return df.select(F.col("key").alias(name)).distinct().select(name, n.alias(f"{name}_n"), F.explode(F.array_distinct(F.when(n < 8, letters(name)).when(n * ratio < 8, F.concat(letters(name), pairs(name))).otherwise(pairs(name)))).alias("gram"))
 
     met = grams(left, "key").join(grams(right, "other"), "gram").where((F.col("key_n") >= ratio * F.col("other_n")) & (F.col("other_n") >= ratio * F.col("key_n"))).select("key", "other").distinct()
     return met.withColumn("score", key_similarity("key", "other")).where(F.col("score") >= threshold)

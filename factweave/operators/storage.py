@@ -20,7 +20,9 @@ class FactStore:
     def read(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # else a table that cannot be read would pass for an empty one
+                raise
             return self.spark.createDataFrame([], TABLES[name])
 
     def shaped(self, df: DataFrame, name: str) -> DataFrame:

@@ -258,7 +258,7 @@ def relations_by_doc(spark, sf_dir):
     return views.relations_by_doc(rel, own, doc=3, bucket="contradiction").select("fact_a", "fact_b", "bucket", _sure())
 
 
-@query(_RULED + "SELECT rel.fact_a, rel.fact_b, a.value_text AS value_a, b.value_text AS value_b, a.doc_id AS doc_a, b.doc_id AS doc_b FROM rel JOIN f a ON a.id = fact_a JOIN f b ON b.id = fact_b")
+@query(_RULED.replace("f AS (", "f AS MATERIALIZED (").replace("rel AS (", "rel AS MATERIALIZED (") + "SELECT rel.fact_a, rel.fact_b, a.value_text AS value_a, b.value_text AS value_b, a.doc_id AS doc_a, b.doc_id AS doc_b FROM rel JOIN f a ON a.id = fact_a JOIN f b ON b.id = fact_b")
 def relation_view(spark, sf_dir):
     """PF3, J4."""
     own, rel = _relations(spark, sf_dir)
@@ -567,6 +567,18 @@ def block_classify(spark, sf_dir):
     return chunking.page_blocks(pages).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "kind")
 
 
+@query(
+    """SELECT k, CASE WHEN n = 7 THEN 'iv' WHEN mark BETWEEN 1 AND 3000 AND abs(mark - page) <= 12 THEN CAST(mark AS VARCHAR) END AS label
+FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_linenumber AS n, l_suppkey % 60 AS mark, CAST(l_quantity AS INT) AS page FROM lineitem)"""
+)
+def printed_label_grid(spark, sf_dir):
+    """Pages of three lines, the last a number or a roman numeral."""
+    line = _table(spark, sf_dir, "lineitem")
+    mark = F.when(F.col("l_linenumber") == 7, "iv").otherwise((F.col("l_suppkey") % 60).cast("string"))
+    page = F.concat(F.lit("Some title\nsome words of a page\n  "), mark, F.lit(" "))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), flags.printed_label(page, F.col("l_quantity").cast("int")).alias("label"))
+
+
 @query()
 def chunk_pages(spark, sf_dir):
     """W3, AG6, AG7, J10, J11, ST5: tested against a plain loop."""

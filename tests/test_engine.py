@@ -206,3 +206,12 @@ def test_quotes_beyond_one_broadcast(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(queries, "QUOTES_AT_ONCE", 7)
     assert whole and found() == whole
+
+
+def test_similar_keys_of_any_length(spark):
+    r = random.Random(4)
+    own = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 12))) for _ in range(120)} | {"acmecor", "acmecorp"})
+    df = spark.createDataFrame([(k,) for k in own], "key string")
+    found = {(x["key"], x["other"]) for x in registry.similar_keys(df, df, 90.0).collect()}
+    assert found == {(a, b) for a in own for b in own if keys.key_score(a, b) >= 90.0}
+    assert ("acmecor", "acmecorp") in found

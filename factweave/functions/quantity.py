@@ -66,20 +66,27 @@ def is_negative(c: Column) -> Column:
     )
 
 
-def signed(text: Column, magnitude: Column) -> Column:
-    return F.when(is_negative(text), -F.abs(magnitude)).otherwise(magnitude)
-
-
 def parse_quantity(value: Column, unit: Column, label: Column, kind: Column) -> Column:
     """struct(value_num, currency, unit_canonical, scale_applied) of a written value; the first case that fits."""
-    raw = norm_ws(ascii_digits(F.coalesce(value, F.lit(""))))
     unit = F.coalesce(unit, F.lit(""))
-    both = norm_ws(F.concat(raw, F.lit(" "), unit))
-    currency, scale, number = currency_of(both), scale_of(both), first_number(raw)
-    percent, points = both.rlike(PERCENT), both.rlike(BASIS_POINTS)
+
+    def read(raw: Column) -> Column:
+        return _let(norm_ws(F.concat(raw, F.lit(" "), unit)), lambda both: F.struct(
+            raw.alias("raw"), both.alias("both"), currency_of(both).alias("currency"), scale_of(both).alias("scale"), first_number(raw).alias("number"),
+            is_negative(raw).alias("negative"), both.rlike(PERCENT).alias("percent"), both.rlike(BASIS_POINTS).alias("points"),
+        ))
+
+    parts = _let(norm_ws(ascii_digits(F.coalesce(value, F.lit("")))), read)
+    return _let(parts, lambda p: _quantity(p, unit, label, kind))
+
+
+def _quantity(p: Column, unit: Column, label: Column, kind: Column) -> Column:
+    """parse_quantity of a text that was read into parts, each of which is worked out once."""
+    raw, both, currency, scale, number, percent, points = (p[c] for c in ("raw", "both", "currency", "scale", "number", "percent", "points"))
     ratio = percent | points
     signal = ratio | currency.isNotNull() | scale.isNotNull() | (unit != "")
-    value = signed(raw, number * F.coalesce(scale, F.lit(1.0)))
+    with_sign = lambda x: F.when(p["negative"], -F.abs(x)).otherwise(x)
+    value = with_sign(number * F.coalesce(scale, F.lit(1.0)))
 
     def q(num, money, name: str, factor=None):
         null = F.lit(None)
@@ -95,9 +102,9 @@ def parse_quantity(value: Column, unit: Column, label: Column, kind: Column) ->
         F.when(raw == "", q(None, None, "text"))
         .when(kind.isin("status", "event") & ~ratio, q(None, currency, "text"))
         .when((kind == "attribute") & ~signal, q(None, currency, "text"))
-        .when(percent, q(signed(raw, number) / 100.0, None, "ratio"))
-        .when(points, q(signed(raw, number) / 10000.0, None, "ratio"))
-        .when(raw.rlike(MULTIPLE), q(signed(raw, number), None, "ratio"))
+        .when(percent, q(with_sign(number) / 100.0, None, "ratio"))
+        .when(points, q(with_sign(number) / 10000.0, None, "ratio"))
+        .when(raw.rlike(MULTIPLE), q(with_sign(number), None, "ratio"))
         .when(number.isNull() | (~signal & (words >= 3)), q(None, currency, "text"))
         .when(both.rlike(TONNES), q(value, None, "tonnes", scale))
         .when(both.rlike(DAYS), q(value, None, "days", scale))

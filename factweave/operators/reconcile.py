@@ -44,24 +44,24 @@ def pair_facts(facts: DataFrame, settings: Settings = SETTINGS, incremental: boo
 
     The first `full_pairing` facts of a block pair with all before them; later ones with facts of their own period (a
     missing period counts as one). Two facts of one content hash do not pair; incremental keeps pairs with a new
-    fact (is_new). The later facts meet on (block, period) and the first ones on the block, so a large block is
-    dealt over its periods, and no join has a residual that discards most of what it forms.
+    fact (is_new). One join serves both: a fact is met under its block's tag "" if it is among the first, under its period
+    if not, and looks under "" as one of the first, under its period where its block has later facts. So a
+    large block is dealt over its periods, and each side of the join is worked out once.
     """
-    w = Window.partitionBy(*BLOCK).orderBy("id")
+    w = Window.partitionBy(*BLOCK)
     held = prepare(facts.where("id is not null")).withColumn("period_key", F.coalesce(F.nullif("period_canonical", F.lit("")), F.lit("∅")))
     cols = [c for c in SIDE if c in facts.columns] + DERIVED + (["is_new"] if incremental else [])
-    early = held.withColumn("rank", F.row_number().over(w))
+    ranked = held.withColumn("rank", F.row_number().over(w.orderBy("id"))).withColumn("size", F.count("*").over(w))
+    first = F.col("rank") <= settings.full_pairing
+    looks = F.array_compact(F.array(F.when(first, ""), F.when(F.col("size") > settings.full_pairing, F.col("period_key"))))
 
-    def side(df: DataFrame, p: str, keys_: list[str]) -> DataFrame:
-        return df.select(*keys_, *[F.col(c).alias(f"{p}_{c}") for c in cols], F.col("rank").alias(f"{p}_rank"), *([F.col("period_key").alias(f"{p}_period_key")] if "period_key" not in keys_ else []))
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*BLOCK, "tag", *[F.col(c).alias(f"{p}_{c}") for c in cols])
 
-    first = early.where(F.col("rank") <= settings.full_pairing)
-    near = side(first, "a", BLOCK).join(side(first, "b", BLOCK), BLOCK).drop("a_period_key", "b_period_key")
-    late = early.where(F.col("rank") > settings.full_pairing)
-    far = side(early, "a", [*BLOCK, "period_key"]).join(side(late, "b", [*BLOCK, "period_key"]), [*BLOCK, "period_key"]).drop("period_key")
+    met = side(ranked.withColumn("tag", F.explode(looks)), "a").join(side(ranked.withColumn("tag", F.when(first, "").otherwise(F.col("period_key"))), "b"), [*BLOCK, "tag"]).drop("tag")
     fresh = F.col("a_is_new") | F.col("b_is_new") if incremental else F.lit(True)
     same_hash = F.coalesce((F.col("a_content_hash") != "") & (F.col("a_content_hash") == F.col("b_content_hash")), F.lit(False))
-    return near.unionByName(far).where((F.col("a_id") < F.col("b_id")) & ~same_hash & fresh).drop("a_rank", "b_rank", "a_is_new", "b_is_new")
+    return met.where((F.col("a_id") < F.col("b_id")) & ~same_hash & fresh).drop("a_is_new", "b_is_new")
 
 
 def touched(facts: DataFrame, new: DataFrame) -> DataFrame:
@@ -215,12 +215,12 @@ def _with_similarity(pairs: DataFrame) -> DataFrame:
     va, vb = F.trim(F.coalesce(a("value_text"), F.lit(""))), F.trim(F.coalesce(b("value_text"), F.lit("")))
     named = F.col("attribute_key").rlike(IDENTIFIER) | F.coalesce(a("attribute_display").rlike(IDENTIFIER), F.lit(False))
     ask = named & a("value_num").isNull() & b("value_num").isNull() & (va != vb)
-    plain = pairs.where(~ask).withColumn("similarity", F.lit(None).cast("double"))
-    return plain.unionByName(pairs.where(ask).withColumn("similarity", keys.indel_ratio(va, vb)))
+    # Nulls stand for the pairs that need no answer, so that the pairs are formed once.
+    return pairs.withColumn("similarity", keys.indel_ratio(F.when(ask, va), F.when(ask, vb)))
 
 
 def reconcile(pairs: DataFrame, settings: Settings = SETTINGS, cascade=None) -> DataFrame:
-    """fact_a, fact_b, entity_key, attribute_key, bucket, rule_code, relation_confidence, explanation, trace."""
+    """fact_a, fact_b, doc_a, doc_b, entity_key, attribute_key, bucket, rule_code, relation_confidence, explanation, trace."""
     cascade = CASCADE if cascade is None else cascade
     tried = [(code, *rule(settings), bucket) for code, rule, bucket in cascade]
     out = _with_similarity(pairs).withColumn("c", compare(settings))
@@ -268,7 +268,7 @@ def reconcile(pairs: DataFrame, settings: Settings = SETTINGS, cascade=None) ->
     trace = F.concat(F.array(F.struct(F.lit("compare").alias("step"), F.col("c.result").alias("result"), F.col("c.rel_diff").alias("rel_diff"), F.nullif(F.col("c.note"), F.lit("")).alias("note"))), F.transform(steps, lambda x: F.struct(x["step"].alias("step"), x["applies"].cast("string").alias("result"), F.lit(None).cast("double").alias("rel_diff"), F.lit(None).cast("string").alias("note"))))
     confidence = F.when(r.isin("DUPLICATE", "INCOMPARABLE"), 0.3).otherwise(text.clip01(score))
     return out.select(
-        a("id").alias("fact_a"), b("id").alias("fact_b"), *BLOCK, bucket.alias("bucket"), "rule_code",
+        a("id").alias("fact_a"), b("id").alias("fact_b"), a("doc_id").alias("doc_a"), b("doc_id").alias("doc_b"), *BLOCK, bucket.alias("bucket"), "rule_code",
         confidence.alias("relation_confidence"), explanation.alias("explanation"), trace.alias("rule_trace"), F.lit("template").alias("explanation_source"),
     )
 

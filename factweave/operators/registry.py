@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +60,35 @@ def best_links(candidates: DataFrame, known: DataFrame, threshold: float) -> Dat
     return exact.unionByName(near)
 
 
+def link_in_order(fresh: DataFrame, known: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, canonical) for every key of fresh (key, first): what `link_new_keys` gives for the keys in order of (first, key).
+
+    A key waits until all earlier keys that resemble it are decided; then it takes the best of the known keys and of
+    the earlier keys that stand for themselves, or stands for itself. All keys that wait for nothing are decided in one
+    round, so the rounds are as many as the longest chain of resemblances, not as the keys. keep writes a table and
+    reads it back. First keys come once, the least of their places counts; null keys go.
+    """
+    own = keep(fresh.where("key is not null").groupBy("key").agg(F.min("first").alias("first")).join(known.select("key").distinct(), "key", "left_anti"))
+    old = fresh.select("key").distinct().join(known.select("key").distinct(), "key").select("key", F.col("key").alias("canonical"))
+    others = known.select("key").unionByName(own.select("key"))
+    found = similar_keys(own, others, threshold).where("key <> other")
+    found = found.join(own.withColumnRenamed("first", "at"), "key").join(own.select(F.col("key").alias("other"), F.col("first").alias("other_at")), "other", "left")
+    edges = keep(found.where(F.col("other_at").isNull() | (F.struct("other_at", "other") < F.struct(F.col("at").alias("other_at"), F.col("key").alias("other")))).select("key", "other", "score", F.col("other_at").isNotNull().alias("waits")))
+    stands = ~F.col("waits") | F.coalesce(F.col("stands") == F.col("other"), F.lit(False))
+    decided = keep(own.join(edges, "key", "left_anti").select("key", F.col("key").alias("canonical")))
+    while True:
+        left = own.join(decided, "key", "left_anti").select("key")
+        if left.isEmpty():
+            return old.unionByName(decided)
+        ahead = edges.join(left, "key", "left_semi").join(decided.select(F.col("key").alias("other"), F.col("canonical").alias("stands")), "other", "left")
+        judged = ahead.groupBy("key").agg(
+            F.max(F.col("waits") & F.col("stands").isNull()).alias("waiting"),
+            F.max(F.when(stands, F.col("score"))).alias("score"),
+        ).where("not waiting")
+        best = ahead.where(stands).join(judged.select("key", "score"), ["key", "score"]).groupBy("key").agg(F.min("other").alias("canonical"))
+        decided = keep(decided.unionByName(judged.join(best, "key", "left").select("key", F.coalesce("canonical", "key").alias("canonical"))))
+
+
 def apply_links(facts: DataFrame, links: DataFrame, column: str) -> DataFrame:
     """facts with the keys in column replaced by their canonical ones."""
     return facts.join(links.select(F.col("key").alias(column), "canonical"), column, "left").withColumn(column, F.coalesce("canonical", column)).drop("canonical")

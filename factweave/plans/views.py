@@ -19,7 +19,9 @@ def ledger_counts(documents: DataFrame, facts: DataFrame, relations: DataFrame,
 
 
 def with_docs(relations: DataFrame, facts: DataFrame) -> DataFrame:
-    """Relations with doc_a and doc_b."""
+    """Relations with doc_a and doc_b, which relations that were not cut down already have."""
+    if {"doc_a", "doc_b"} <= set(relations.columns):
+        return relations
     ids = facts.select("id", "doc_id")
     return relations.join(ids.select(F.col("id").alias("fact_a"), F.col("doc_id").alias("doc_a")), "fact_a").join(ids.select(F.col("id").alias("fact_b"), F.col("doc_id").alias("doc_b")), "fact_b")
 
@@ -79,7 +81,7 @@ def best_cases(relations: DataFrame, facts: DataFrame, bucket: str, n: int = 3,
     if rules:
         out = out.where(F.col("rule_code").isin(*rules))
     if cross_doc:
-        out = with_docs(out, facts).where("doc_a <> doc_b").drop("doc_a", "doc_b")
+        out = with_docs(out, facts).where("doc_a <> doc_b")
     order = [F.desc("relation_confidence"), "fact_a", "fact_b"]
     if diversify:
         out = out.withColumn("rn", F.row_number().over(Window.partitionBy("attribute_key").orderBy(*order))).where("rn = 1").drop("rn")

@@ -9,8 +9,9 @@ from factweave.functions import keys
 from factweave.operators import chunking, guard, reconcile, registry
 from factweave.operators.facts import first_by_hash, normalize
 from factweave.operators.storage import FactStore
+from factweave.schemas import VERSION
 from factweave.sources import readers
-from factweave.streaming import incremental
+from factweave.streaming import incremental, ingest
 
 FACT = "id long, doc_id long, doc_title string, entity_key string, attribute_key string, attribute_display string, fact_kind string, value_text string, value_num double, currency string, unit_canonical string, period_canonical string, as_of_date string, estimate_status string, basis_flags array<string>, scope_flags array<string>, sanity_flags array<string>, attributed_to string, extraction_confidence double, source_page int, content_hash string"
 
@@ -84,7 +85,7 @@ def test_store_stream_equals_rebuild(spark, tmp_path):
     df = spark.createDataFrame(rows, FACT)
     store = FactStore(spark, str(tmp_path / "base"))
     store.migrate()
-    assert store.version() == "1"
+    assert store.version() == VERSION
     for low in (0, 20):
         incremental.add_facts(store, df.where(F.col("id").between(low, low + 19)))
     rels = {tuple(x) for x in store.read("relations").select("fact_a", "fact_b", "bucket").collect()}
@@ -215,3 +216,55 @@ def test_similar_keys_of_any_length(spark):
     found = {(x["key"], x["other"]) for x in registry.similar_keys(df, df, 90.0).collect()}
     assert found == {(a, b) for a in own for b in own if keys.key_score(a, b) >= 90.0}
     assert ("acmecor", "acmecorp") in found
+
+
+def test_link_in_order(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "base"))
+    r = random.Random(8)
+    own = ["".join(r.choice("ab") for _ in range(r.randint(6, 14))) for _ in range(60)]
+    known = sorted({own[3][:-1] + "b", "zzzzzz", own[5]})
+    fresh = spark.createDataFrame([(k, i) for i, k in enumerate(own)], "key string, first int")
+    links = registry.link_in_order(fresh, spark.createDataFrame([(k,) for k in known], "key string"), 88.0, store.scratch)
+    assert {x["key"]: x["canonical"] for x in links.collect()} == registry.link_new_keys(own, known, 88.0)
+
+
+def test_replace_is_whole_or_nothing(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "base"))
+    row = lambda k: spark.createDataFrame([(k, [])], "key string, aliases array<string>")
+    store.append(row("a"), "entity_registry")
+    before = store.read("entity_registry")
+    store.replace(store.read("entity_registry").unionByName(row("b")), "entity_registry")
+    half = tmp_path / "base" / "entity_registry" / "gen-3"  # a writer that died
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"torn")
+    held = lambda df: sorted(x["key"] for x in df.collect())
+    assert held(store.read("entity_registry")) == ["a", "b"] and held(before) == ["a"]
+    store.append(row("c"), "entity_registry")
+    store.replace(store.read("entity_registry").where("key <> 'a'"), "entity_registry")
+    assert held(store.read("entity_registry")) == ["b", "c"]
+
+
+def test_ingest_documents(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "base"))
+    docs = spark.createDataFrame([("One", "Acme Data Limited\nRevenue was 100 crore in FY24."), ("Two", "Acme Data Limited\nRevenue was 100 crore in FY24.\fRevenue was 150 crore in FY24."), ("One", "Acme Data Limited\nRevenue was 100 crore in FY24."), ("Blank", None)], "title string, text string")
+
+    def propose(chunks, documents):
+        said = chunks.join(documents.select("doc_id", "title"), "doc_id").select("title", "doc_id", "page_no", F.col("text").alias("source"), "structural_confidence", F.explode(F.regexp_extract_all("text", F.lit(r"(Revenue was \d+ crore in FY24)"))).alias("quote"))
+        who = F.when(F.col("title") == "One", "Acme Data").otherwise("Acme Datas")
+        out = said.withColumns({"entity_text": who, "attribute_label": F.lit("Revenue"), "value_text": F.regexp_extract("quote", r"\d+ crore", 0), "unit_text": F.lit(None).cast("string"), "period_text": F.lit("FY24"), "fact_kind": F.lit("numeric"), "self_confidence": F.lit(0.9)})
+        return out.unionByName(out.withColumn("quote", F.lit("a quote that nobody wrote down")))
+
+    def out_of_reach(chunks, documents):
+        raise ingest.Outage("no model")
+
+    status = lambda: {x["status"] for x in store.jobs().collect()}
+    assert not ingest.ingest(store, docs, out_of_reach) and status() == {"paused"}
+    assert store.read("documents").count() == 3 and store.read("facts").count() == 0
+    assert ingest.extract(store, propose) and status() == {"done"}
+    first = {n: store.read(n).count() for n in ("documents", "pages", "raw_facts", "facts", "relations", "rejected_facts")}
+    assert first["facts"] == 3 and first["raw_facts"] == 3 and first["rejected_facts"] == 3
+    assert store.read("facts").select("entity_key").distinct().count() == 1  # the variant was linked, so the facts meet
+    assert {(x["bucket"], x["rule_code"]) for x in store.read("relations").collect()} == {("corroborated", "EXACT"), ("contradiction", "NONE")}
+    (entity,) = store.read("entity_registry").collect()
+    assert sorted([entity["key"], *entity["aliases"]]) == ["acme data", "acme datas"]
+    assert ingest.ingest(store, docs, propose) and {n: store.read(n).count() for n in first} == first

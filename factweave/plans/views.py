@@ -88,17 +88,41 @@ def best_cases(relations: DataFrame, facts: DataFrame, bucket: str, n: int = 3,
     return out.orderBy(*order).limit(n)
 
 
-def cases(relations: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
-    """The report's six picks."""
-    pick = lambda *a, **k: best_cases(relations, facts, *a, **k)
-    return {
-        "corroboration": pick("corroborated", 4, cross_doc=True),
-        "contradiction": pick("contradiction", 3, diversify=False),
-        "reconciled_vintage": pick("reconciled", 2, ["ESTIMATE_VINTAGE"]),
-        "reconciled_period": pick("reconciled", 2, ["PERIOD"]),
-        "reconciled_basis": pick("reconciled", 2, ["BASIS", "SCOPE", "IDENTIFIER_REVISION", "UNIT_SCALE"]),
-        "reconciled_temporal": pick("reconciled", 1, ["TEMPORAL_STATUS"]),
-    }
+#: The report's picks: bucket, how many, of which rules, whether across documents only, whether one for each attribute.
+PICKS: dict[str, tuple[str, int, list[str] | None, bool, bool]] = {
+    "corroboration": ("corroborated", 4, None, True, True),
+    "contradiction": ("contradiction", 3, None, False, False),
+    "reconciled_vintage": ("reconciled", 2, ["ESTIMATE_VINTAGE"], False, True),
+    "reconciled_period": ("reconciled", 2, ["PERIOD"], False, True),
+    "reconciled_basis": ("reconciled", 2, ["BASIS", "SCOPE", "IDENTIFIER_REVISION", "UNIT_SCALE"], False, True),
+    "reconciled_temporal": ("reconciled", 1, ["TEMPORAL_STATUS"], False, True),
+}
+
+
+def cases(relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """The report's picks, by name, with fact_a, fact_b, rule_code and relation_confidence; see best_cases.
+
+    All picks come of one pass over the relations: a relation is dealt to the picks it suits, the surest of each
+    attribute is kept by an aggregation, and the few that are asked for by a rank that Spark limits before its shuffle.
+    """
+    suits, alone, many = [], [], []
+    for name, (bucket, n, rules, cross_doc, diversify) in PICKS.items():
+        test = F.col("bucket") == bucket
+        if rules:
+            test &= F.col("rule_code").isin(*rules)
+        if cross_doc:
+            test &= F.col("doc_a") != F.col("doc_b")
+        suits.append(F.when(test, name))
+        alone += [name] if not diversify else []
+        many.append((F.col("name") == name) & (F.col("rn") <= n))
+    dealt = with_docs(relations, facts).select(F.explode(F.array_compact(F.array(*suits))).alias("name"), "attribute_key", F.struct((-F.col("relation_confidence")).alias("low"), "fact_a", "fact_b", "rule_code").alias("pick"))
+    apart = F.when(F.col("name").isin(*alone), F.struct("pick.fact_a", "pick.fact_b"))
+    best = dealt.groupBy("name", "attribute_key", apart.alias("apart")).agg(F.min("pick").alias("pick"))
+    top = best.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("pick"))).where(F.col("rn") <= max(p[1] for p in PICKS.values()))
+    wanted = many[0]
+    for m in many[1:]:
+        wanted |= m
+    return top.where(wanted).select("name", "pick.fact_a", "pick.fact_b", "pick.rule_code", (-F.col("pick.low")).alias("relation_confidence"))
 
 
 def fact_relations(facts: DataFrame, relations: DataFrame) -> DataFrame:

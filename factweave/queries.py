@@ -231,13 +231,7 @@ def _best(name, bucket, n, more="", diversify=True):
 def case_picker(spark, sf_dir):
     """The report's picks."""
     own, rel = _relations(spark, sf_dir)
-    # Six picks from one set of relations, which is worked out once.
-    rel = rel.withColumn("relation_confidence", F.round("relation_confidence", 6)).select("fact_a", "fact_b", "doc_a", "doc_b", "attribute_key", "bucket", "rule_code", "relation_confidence").persist()
-    parts = [df.select(F.lit(name).alias("name"), "fact_a", "fact_b", "rule_code", F.col("relation_confidence").alias("confidence")) for name, df in views.cases(rel, own).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return views.cases(rel.withColumn("relation_confidence", F.round("relation_confidence", 6)), own).withColumnRenamed("relation_confidence", "confidence")
 
 
 @query(

@@ -6,7 +6,8 @@ and by connected components, and each only between items that are not connected
 1. every item with the one bucket leader whose sketch is nearest to its own;
 2. every item with the leaders of all its buckets (at once with the first, if items are in few buckets);
 3. what is left: all pairs of a bucket that span two groups and whose sketches are near enough, each in the least
-   bucket that both are in.
+   bucket that both are in. With `within`, a bucket's items come to one place with what is needed to compare them, so
+   that pairs are neither listed nor sent about, and items that an earlier pair has connected are compared no more.
 
 Two items that share a bucket and pass `near` are compared, or are already connected by verified links;
 so the groups are those of the full graph of such links, while large groups of copies fall together in
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,95 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
+#: Pairs of one bucket that are looked at side by side.
+PAIRS = 1 << 16
+
+
+def _bucket_links(ids: np.ndarray, root: np.ndarray, lead: int, key: int, keys: pa.ListArray, near: Callable, verify: Callable) -> list[tuple[int, int]]:
+    """The links of one bucket's items between different groups; near(i, j) and verify(i, j) judge pairs of places."""
+    _, group = np.unique(root, return_inverse=True)
+    use = np.flatnonzero(ids != lead)
+    use = use[np.argsort(group[use], kind="stable")]
+    ends = np.searchsorted(group[use], group[use], side="right")  # where the next group begins
+    links, known = [], {}
+
+    def shared(at: int) -> set[int]:
+        if at not in known:
+            known[at] = set(keys[at].as_py())
+        return known[at]
+
+    def settle(x: np.ndarray, y: np.ndarray) -> None:
+        """Compares these pairs, few at first, as each link may spare others."""
+        nonlocal group
+        step = 64
+        while len(x):
+            good = verify(x[:step], y[:step])
+            for a, b in zip(x[:step][good].tolist(), y[:step][good].tolist()):
+                links.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+                if group[a] != group[b]:
+                    group[group == group[b]] = group[a]
+            x, y = x[step:], y[step:]
+            open_ = group[x] != group[y]
+            x, y, step = x[open_], y[open_], min(2 * step, 4096)
+
+    low, n = 0, len(use)
+    while low < n:
+        rows = max(1, PAIRS // n)
+        block = np.arange(low, min(n, low + rows))
+        low += rows
+        many = n - ends[block]
+        x = np.repeat(block, many)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[block], many)
+        x, y = use[x], use[y]
+        for part in range(0, len(x), PAIRS):
+            i, j = x[part : part + PAIRS], y[part : part + PAIRS]
+            open_ = group[i] != group[j]
+            i, j = i[open_], j[open_]
+            if len(i):
+                open_ = near(i, j)
+                i, j = i[open_], j[open_]
+            if len(i):
+                open_ = np.fromiter((min(shared(a) & shared(b)) == key for a, b in zip(i.tolist(), j.tolist())), bool, len(i))
+                settle(i[open_], j[open_])
+    return links
+
+
+def linked_within(judges: Callable[[pa.RecordBatch], tuple[Callable, Callable]]) -> Callable:
+    """A function for mapInArrow over members (key, id, root, lead, keys and more), sorted by key: the links (a, b) of
+    every bucket. judges(members of one bucket) makes near(i, j) and verify(i, j) over arrays of places."""
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def done():
+            rows = pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
+            ids, root = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            if len(ids) < 2:
+                return []
+            return _bucket_links(ids, root, rows.column(3)[0].as_py(), rows.column(0)[0].as_py(), rows.column(4), *judges(rows))
+
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            found: list[tuple[int, int]] = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if waiting and waiting[0].column(0)[0].as_py() != key[a]:
+                    found += done()
+                    waiting = []
+                waiting.append(batch.slice(a, b - a))
+            yield _edges(found)
+        if waiting:
+            yield _edges(done())
+
+    return run
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
 def clusters(
     buckets: DataFrame,
     sketches: DataFrame,
@@ -57,13 +149,15 @@ def clusters(
     verify: Callable[[DataFrame], DataFrame],
     prepare: Callable[[DataFrame], None] | None = None,
     nearest: bool = True,
+    within: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(groups (id, root), links (a, b)) of the items in buckets (key, id); a row may stand there more than once.
 
     sketches (id, columns) is a materialized table of all items; it is joined only to items that share a bucket.
     distance(x, y) is the column that compares two sketches, x("s") being an item's sketch column s; pairs over near
     are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike; before its first call, prepare gets all ids (id) that
-    may come in pairs. Without nearest the first two rounds are one. (None, None) if no two items are.
+    may come in pairs. Without nearest the first two rounds are one. within(members (key, id, root, lead, keys, sketch columns as id_s),
+    dealt and sorted by key) gives the links of the third round, as linked_within does. (None, None) if no two items are.
     """
     sketch = [c for c in sketches.columns if c != "id"]
     width = 24 + 8 * len(sketch)
@@ -103,10 +197,13 @@ def clusters(
     links, groups = None, None
 
     def add(cand: DataFrame, name: str) -> None:
-        nonlocal links, groups
         cand = materialize(cand, f"{name}-pairs")
         found = materialize(verify(cand).select("a", "b"), f"{name}-links")
         discard(cand)
+        grow(found)
+
+    def grow(found: DataFrame) -> None:
+        nonlocal links, groups
         if found.isEmpty():
             return
         links = found if links is None else links.unionByName(found)
@@ -131,9 +228,12 @@ def clusters(
     own = materialize(own.join(spread, "key", "left_semi"), "spread-ids")
     held = materialize(sketched(own.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id"), "held")
     paired = own.join(held, "id")
-    x, y = (paired.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in paired.columns if c != "key"]) for p in ("x", "y"))
-    met_here = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near) & met_here)
-    add(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "rest")
+    if within is not None:
+        grow(materialize(within(paired.select("key", "id", "root", "lead", "keys", *[f"id_{c}" for c in sketch])).distinct(), "rest-links"))
+    else:
+        x, y = (paired.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in paired.columns if c != "key"]) for p in ("x", "y"))
+        met_here = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
+        cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near) & met_here)
+        add(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "rest")
     discard(bare, star, buckets, own, held)
     return groups, links

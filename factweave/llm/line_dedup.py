@@ -17,7 +17,7 @@ that are not blank take part, and lines of any script are linked by edit similar
   one. In the classes of long lines a part of the n-grams that their hashes choose stands for all.
 
 A pair is compared unless its lengths rule it out or, over SHORT characters, more than NEAR of 32 minimum hashes differ in
-two bits. As a key asks all parts of a line to agree, the pairs to compare do not grow with the square of the lines.
+two bits; pairs of one bucket also not if their counts of neighbouring characters prove too many edits. As a key asks all parts of a line to agree, the pairs to compare do not grow with the square of the lines.
 
 Lines under 9 characters are alike only if equal.
 """
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import clusters
+from .clusters import clusters, linked_within
 from .storage import discard, held, join_sized, materialize
 from .textkernel import U64, Words, mix
 
@@ -195,7 +195,7 @@ def alike(a: str, b: str, similar: float = SIMILAR) -> bool:
 
 
 #: Pairs for each word of a band's width from which on working side by side pays.
-BESIDE = 250
+BESIDE = 40
 
 
 def _common(a: str, b: str) -> int:
@@ -279,6 +279,30 @@ def _last_row(i: int, turn: np.ndarray, bits: int, zero: list, up: list, low: li
     return np.where(going, 1 - bit(zero), bit(up) - bit(low))
 
 
+#: Hash classes of two neighbouring characters; how often each occurs is a line's profile.
+PROFILE = 256
+
+
+def _profiles(lines: list[str]) -> np.ndarray:
+    """(lines, PROFILE) numbers of neighbouring characters by hash class."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    row = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    h = (mix(points[:-1] * U64(0x9E3779B97F4A7C15) + points[1:]) % U64(PROFILE)).astype(np.int64)
+    inside = row[1:] == row[:-1]
+    counts = np.bincount((row[1:] * PROFILE + h)[inside], minlength=len(lines) * PROFILE).reshape(len(lines), PROFILE)
+    return np.minimum(counts, 32_767).astype(np.int16)  # a lower count shows no more than the true one
+
+
+def _may_be(profiles: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """False where the profiles of lines i and j show a distance over most: an edit takes away at most two pairs of
+    neighbours and puts two in their place."""
+    out = np.empty(len(most), bool)
+    for low in range(0, len(most), 2048):
+        part = slice(low, low + 2048)
+        out[part] = np.abs(profiles[i[part]] - profiles[j[part]]).sum(axis=1, dtype=np.int64) <= 4 * most[part]
+    return out
+
+
 def alike_pairs(a: list[str], b: list[str], similar: float = SIMILAR) -> np.ndarray:
     """alike() of every pair, many at once."""
     out = np.zeros(len(a), bool)
@@ -421,6 +445,34 @@ def _verify(similar: float):
     return run
 
 
+def _judges(similar: float):
+    """For members of a bucket with their sketches and lines; see linked_within."""
+
+    def judges(rows: pa.RecordBatch):
+        sim, level, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id_sim", "id_level", "id_size"))
+        sim, lines, found = sim.view(U64), rows.column("line"), []
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            longer = np.maximum(size[i], size[j]).astype(np.int64)
+            odd = sim[i] ^ sim[j]
+            apart = np.bitwise_count((odd | (odd >> U64(1))) & U64(0x5555555555555555))
+            short = np.minimum(size[i], size[j]).astype(np.int64)
+            good = (short * 10 >= longer * 9) & ((short < SHORT) | (level[i] != level[j]) | (apart <= NEAR))
+            at = np.flatnonzero(good)
+            if len(at) and not found:
+                found.append(np.concatenate([_profiles(lines.slice(low, 1024).to_pylist()) for low in range(0, len(lines), 1024)]))
+            if len(at):
+                good[at] = _may_be(found[0], i[at], j[at], ((1 - similar) * longer[at] + 1e-9).astype(np.int64))
+            return good
+
+        def verify(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return alike_pairs(lines.take(pa.array(i)).to_pylist(), lines.take(pa.array(j)).to_pylist(), similar)
+
+        return near, verify
+
+    return judges
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, similar: float = SIMILAR, every: bool = False):
     """(occurrences, keepers): every occurrence (id, doc_id, doc_key, line_no and more), and for each line that
     repeats or is linked its kept occurrence (id, first: struct of doc_id, doc_key, line_no). With every, least is
@@ -472,7 +524,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a bigint, b bigint")
 
-    groups, _ = clusters(buckets, distinct.select("id", "sim", *(["level", "size"] if every else [])), apart, NEAR if every else BITS, verify, prepare, nearest=False)
+    def within(members: DataFrame) -> DataFrame:
+        return members.join(lines, "id").select(*members.columns, "line").repartition("key").sortWithinPartitions("key").mapInArrow(linked_within(_judges(similar)), "a bigint, b bigint")
+
+    groups, _ = clusters(buckets, distinct.select("id", "sim", *(["level", "size"] if every else [])), apart, NEAR if every else BITS, verify, prepare, nearest=False, within=within if every else None)
     discard(lines)
     distinct = distinct.select("id", "first", "n")
     if groups is None:

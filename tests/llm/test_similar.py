@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -278,3 +279,48 @@ def test_alike_pairs_agree_with_one_by_one():
         a, b = [*a, x, "".join(y)], [*b, "".join(y), x]
     assert line_dedup.alike_pairs(a, b).tolist() == [line_dedup.alike(x, y) for x, y in zip(a, b)]
     assert line_dedup.alike_pairs(["", "a", ""], ["", "", "b"]).tolist() == [True, False, False]
+
+
+def test_buckets_are_compared_in_place():
+    """Groups as all pairs of a bucket give them, a pair in its least bucket, and few comparisons in a group of copies."""
+    r = random.Random(5)
+    value = [r.randrange(300) for _ in range(200)] + [1000 + i % 5 for i in range(400)]
+    rows = [(key, i) for key in (7, 9) for i in range(600) if key == 7 or i % 3]
+    members = pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array([[7, 9] if i % 3 else [7] for _, i in rows], pa.list_(pa.int64()))],
+        ["key", "id", "root", "lead", "keys"],
+    )
+    seen = []
+
+    def judges(part):
+        v = np.array([value[i] for i in part.column(1).to_pylist()])
+        ids = part.column(1).to_numpy()
+
+        def verify(i, j):
+            seen.extend(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist()))
+            return np.abs(v[i] - v[j]) <= 1
+
+        return lambda i, j: np.abs(v[i] - v[j]) <= 20, verify
+
+    batches = [members.slice(low, 77) for low in range(0, len(rows), 77)]
+    found = [tuple(x.values()) for b in clusters.linked_within(judges)(iter(batches)) for x in b.to_pylist()]
+    alike = [(a, b) for b in range(1, 600) for a in range(1, b) if abs(value[a] - value[b]) <= 1]
+    assert set(found) <= set(alike) and groups_of(600, found) == groups_of(600, alike)
+    assert len(seen) == len(set(seen)) and sum(a >= 200 for a, _ in seen) < 400 * 399 // 8
+
+
+def test_profiles_spare_unlike_lines_only():
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 6))) for _ in range(400)]
+    lines = [" ".join(r.choice(words) for _ in range(n)) for n in (8, 20, 40, 60, 60, 90) for _ in range(4)]
+    for line in lines[::2]:
+        marred = list(line)
+        for _ in range(int(0.09 * len(line))):
+            marred[r.randrange(len(marred))] = r.choice("xyz ")
+        lines.append("".join(marred))
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j)]
+    i, j = (np.array(x) for x in zip(*pairs))
+    most = np.array([int(0.1 * max(len(lines[a]), len(lines[b])) + 1e-9) for a, b in pairs])
+    may = line_dedup._may_be(line_dedup._profiles(lines), i, j, most)
+    alike = line_dedup.alike_pairs([lines[a] for a in i], [lines[b] for b in j])
+    assert alike.sum() >= 12 and not (alike & ~may).any() and may.sum() < 2 * alike.sum()

@@ -213,6 +213,19 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, dictionary: bytes) -> Da
     return ordered.mapInArrow(run, "part int, seq int, docs bigint, tokens bigint, shard binary")
 
 
+def _reading(shared):
+    def run(batches):
+        held("token shards")  # the encoder of the writing stage goes
+        for batch in batches:
+            for start, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = Shard(blob.as_py(), shared.value)
+                crc = [zlib.crc32(own.document(i).astype("<u4").tobytes()) for i in range(own.n)]
+                begin = start + np.cumsum(own.counts) - own.counts
+                yield pa.RecordBatch.from_arrays([pa.array(own.doc_ids, pa.int64()), pa.array(begin), pa.array(own.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return run
+
+
 def read(shards: DataFrame, dictionary: bytes) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in a shard table; start counts the ids before it.
 
@@ -228,17 +241,8 @@ def read(shards: DataFrame, dictionary: bytes) -> DataFrame:
     places = shards.select("part", "seq", "tokens").withColumn("before", F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
     places = places.join(F.broadcast(bases), "part").select("part", "seq", (F.col("base") + F.coalesce("before", F.lit(0))).alias("start"))
     shared = spark.sparkContext.broadcast(dictionary)
-
-    def run(batches):
-        for batch in batches:
-            for start, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = Shard(blob.as_py(), shared.value)
-                crc = [zlib.crc32(own.document(i).astype("<u4").tobytes()) for i in range(own.n)]
-                begin = start + np.cumsum(own.counts) - own.counts
-                yield pa.RecordBatch.from_arrays([pa.array(own.doc_ids, pa.int64()), pa.array(begin), pa.array(own.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
     places = F.broadcast(places) if shards.count() < 1_000_000 else places
-    return shards.select("part", "seq", "shard").join(places, ["part", "seq"]).select("start", "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.select("part", "seq", "shard").join(places, ["part", "seq"]).select("start", "shard").mapInArrow(_reading(shared), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def export(shards: DataFrame, dictionary: bytes, folder: str) -> None:

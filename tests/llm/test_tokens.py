@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from factweave.llm import bpe, tokenfile
+from factweave.llm import bpe, storage, tokenfile
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
@@ -96,3 +97,9 @@ def test_shard_refuses_another_dictionary():
         tokenfile.Shard(blob, b"other")
     with pytest.raises(ValueError):
         tokenfile.Shard(b"nonsense" * 10, b"")
+
+
+def test_reading_shards_drops_the_encoder():
+    storage.held("token file", "some path", lambda: "an encoder")
+    list(tokenfile._reading(SimpleNamespace(value=b""))(iter([])))
+    assert storage._held["name"] == ("token shards", None) and storage._held["value"] is None

@@ -26,7 +26,7 @@ NONE = np.iinfo(np.int32).max
 #: Pieces of more bytes than this are encoded one at a time.
 WIDE = 64
 #: Entries at which a worker's caches are emptied; they only save repeated work.
-CACHE = 600_000
+CACHE = 250_000
 
 #: A single blank between two visible characters: no pretoken spans it, and the blank opens the next one.
 _CUT = re.compile(r"(?<=\S) (?=\S)")

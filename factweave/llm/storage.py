@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -26,11 +27,13 @@ _held: dict[str, object] = {}
 def held(owner: str, key=None, make=lambda: None):
     """What an operator keeps in a Python worker, made anew for another key. A worker that is used again holds the state
     of one operator at a time: what the one before kept goes when the next begins."""
-    _trim()
     if _held.get("name") != (owner, key):
         _held.clear()
+        gc.collect()
+        _trim()
         _held["value"] = make()
         _held["name"] = (owner, key)
+    _trim()
     return _held["value"]
 
 

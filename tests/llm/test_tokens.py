@@ -103,3 +103,11 @@ def test_reading_shards_drops_the_encoder():
     storage.held("token file", "some path", lambda: "an encoder")
     list(tokenfile._reading(SimpleNamespace(value=b""))(iter([])))
     assert storage._held["name"] == ("token shards", None) and storage._held["value"] is None
+
+
+def test_old_state_goes_before_new_state_is_made(monkeypatch):
+    storage.held("one", None, lambda: "old")
+    seen = []
+    monkeypatch.setattr(storage, "_trim", lambda: seen.append(dict(storage._held)))
+    assert storage.held("two", None, lambda: seen.append("made") or "new") == "new"
+    assert seen == [{}, "made", {"value": "new", "name": ("two", None)}]

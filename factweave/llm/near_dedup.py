@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .clusters import clusters
+from .clusters import clusters, linked_within
 from .storage import discard, held, join_sized, materialize
 from .textkernel import U64, Words, mix, sequence_hashes, string_buffers
 
@@ -188,6 +188,28 @@ def _alike(similar: float):
     return run
 
 
+def _judges(similar: float):
+    """For members of a bucket with their sketches and bags; see linked_within."""
+
+    def judges(rows: pa.RecordBatch):
+        sketch = [rows.column(f"id_{c}").to_numpy(zero_copy_only=False).view(U64) for c in SKETCH]
+        bags = rows.column("bag")
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(i), np.int64)
+            for s in sketch:
+                odd = s[i] ^ s[j]
+                total += np.bitwise_count((odd | (odd >> U64(1))) & U64(0x5555555555555555))
+            return total <= NEAR
+
+        def verify(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.array([bag_similarity(bags[a].as_buffer(), bags[b].as_buffer()) >= similar for a, b in zip(i.tolist(), j.tolist())], bool)
+
+        return near, verify
+
+    return judges
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, k1, k2, class_id, kept for every row of docs: one document of each class is kept.
 
@@ -218,17 +240,24 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
 
     spent = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    def bags_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(texts.select("k1", "doc_id").join(ids, "k1", "left_semi"), "wanted")
         found = join_sized(own, wanted.select("doc_id").distinct(), own["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi", 16)
         bags = found.select("text").mapInArrow(_sets, "id bigint, bag binary").join(wanted.select(F.col("k1").alias("id")), "id", "left_semi").dropDuplicates(["id"])
         bags = materialize(bags, "bags")
         spent.extend([wanted, bags])
+        return bags
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        bags = bags_of(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct())
         both = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_alike(similar), "a bigint, b bigint")
 
-    groups, _ = clusters(buckets, texts.select(F.col("k1").alias("id"), *SKETCH), differing, NEAR, verify)
+    def within(members: DataFrame) -> DataFrame:
+        bags = bags_of(members.select(F.col("id").alias("k1")).distinct())
+        return members.join(bags, "id").select(*members.columns, "bag").repartition("key").sortWithinPartitions("key").mapInArrow(linked_within(_judges(similar)), "a bigint, b bigint")
+
+    groups, _ = clusters(buckets, texts.select(F.col("k1").alias("id"), *SKETCH), differing, NEAR, verify, within=within)
     discard(*spent)
     rows = signed.select("doc_id", "worded", "k1", "k2")
     if groups is None:

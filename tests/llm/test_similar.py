@@ -324,3 +324,18 @@ def test_profiles_spare_unlike_lines_only():
     may = line_dedup._may_be(line_dedup._profiles(lines), i, j, most)
     alike = line_dedup.alike_pairs([lines[a] for a in i], [lines[b] for b in j])
     assert alike.sum() >= 12 and not (alike & ~may).any() and may.sum() < 2 * alike.sum()
+
+
+def test_near_copies_are_judged_in_their_bucket():
+    r = random.Random(4)
+    base = [f"w{r.randrange(10_000)}" for _ in range(120)]
+    texts = [" ".join("x" + w if r.random() < 0.004 * k else w for w in base) for k in range(12)] + ["other words than those before here"]
+    text = pa.array(texts)
+    signed = next(near_dedup._sign(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), text], ["doc_id", "text"])])))
+    bags = next(near_dedup._sets(iter([pa.RecordBatch.from_arrays([text], ["text"])])))
+    rows = pa.RecordBatch.from_arrays([*(signed.column(c) for c in near_dedup.SKETCH), bags.column("bag")], [*(f"id_{c}" for c in near_dedup.SKETCH), "bag"])
+    near, verify = near_dedup._judges(0.8)(rows)
+    i, j = np.triu_indices(len(texts), 1)
+    alike = [jaccard(bag(texts[a]), bag(texts[b])) >= 0.8 for a, b in zip(i, j)]
+    assert any(alike) and not all(alike) and verify(i, j).tolist() == alike
+    assert near(i, j)[np.array(alike)].all() and not near(np.array([0]), np.array([12])).any()

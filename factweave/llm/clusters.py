@@ -7,7 +7,8 @@ and by connected components, and each only between items that are not connected
 2. every item with the leaders of all its buckets (at once with the first, if items are in few buckets);
 3. what is left: all pairs of a bucket that span two groups and whose sketches are near enough, each in the least
    bucket that both are in. With `within`, a bucket's items come to one place with what is needed to compare them, so
-   that pairs are neither listed nor sent about, and items that an earlier pair has connected are compared no more.
+   that pairs are neither listed nor sent about, and items that an earlier pair has connected are compared no more. What belongs to
+   an item is joined to it once, before it is dealt to its buckets.
 
 Two items that share a bucket and pass `near` are compared, or are already connected by verified links;
 so the groups are those of the full graph of such links, while large groups of copies fall together in
@@ -137,6 +138,13 @@ def linked_within(judges: Callable[[pa.RecordBatch], tuple[Callable, Callable]])
     return run
 
 
+def by_bucket(members: DataFrame) -> DataFrame:
+    """A row for every bucket of members (id, root, places and more), as linked_within reads them."""
+    rest = [c for c in members.columns if c not in ("id", "root", "places")]
+    rows = members.select(F.explode("places").alias("at"), "id", "root", F.col("places.key").alias("keys"), *rest)
+    return rows.select("at.key", "id", "root", "at.lead", "keys", *rest).repartition("key").sortWithinPartitions("key")
+
+
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
@@ -156,8 +164,8 @@ def clusters(
     sketches (id, columns) is a materialized table of all items; it is joined only to items that share a bucket.
     distance(x, y) is the column that compares two sketches, x("s") being an item's sketch column s; pairs over near
     are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike; before its first call, prepare gets all ids (id) that
-    may come in pairs. Without nearest the first two rounds are one. within(members (key, id, root, lead, keys, sketch columns as id_s),
-    dealt and sorted by key) gives the links of the third round, as linked_within does. (None, None) if no two items are.
+    may come in pairs. Without nearest the first two rounds are one. within(members (id, root, places: its
+    buckets (key, lead) in order, sketch columns as id_s), a row for each item) gives the links of the third round, as linked_within does. (None, None) if no two items are.
     """
     sketch = [c for c in sketches.columns if c != "id"]
     width = 24 + 8 * len(sketch)
@@ -226,11 +234,12 @@ def clusters(
         own = own.withColumn("root", F.col("id"))
     spread = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     own = materialize(own.join(spread, "key", "left_semi"), "spread-ids")
-    held = materialize(sketched(own.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id"), "held")
-    paired = own.join(held, "id")
+    held = own.groupBy("id").agg(F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("key", "lead"))).alias("places"))
+    held = materialize(sketched(held, "id"), "held")
     if within is not None:
-        grow(materialize(within(paired.select("key", "id", "root", "lead", "keys", *[f"id_{c}" for c in sketch])).distinct(), "rest-links"))
+        grow(materialize(within(held).distinct(), "rest-links"))
     else:
+        paired = by_bucket(held)
         x, y = (paired.select("key", *[F.col(c).alias(f"{p}_{c.removeprefix('id_')}") for c in paired.columns if c != "key"]) for p in ("x", "y"))
         met_here = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
         cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near) & met_here)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import clusters, linked_within
+from .clusters import by_bucket, clusters, linked_within
 from .storage import discard, held, join_sized, materialize
 from .textkernel import U64, Words, mix
 
@@ -525,7 +525,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a bigint, b bigint")
 
     def within(members: DataFrame) -> DataFrame:
-        return members.join(lines, "id").select(*members.columns, "line").repartition("key").sortWithinPartitions("key").mapInArrow(linked_within(_judges(similar)), "a bigint, b bigint")
+        return by_bucket(members.join(lines, "id")).mapInArrow(linked_within(_judges(similar)), "a bigint, b bigint")
 
     groups, _ = clusters(buckets, distinct.select("id", "sim", *(["level", "size"] if every else [])), apart, NEAR if every else BITS, verify, prepare, nearest=False, within=within if every else None)
     discard(lines)

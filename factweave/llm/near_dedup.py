@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .clusters import clusters, linked_within
+from .clusters import by_bucket, clusters, linked_within
 from .storage import discard, held, join_sized, materialize
 from .textkernel import U64, Words, mix, sequence_hashes, string_buffers
 
@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
         return both.select("a", "b", "x", "y").mapInArrow(_alike(similar), "a bigint, b bigint")
 
     def within(members: DataFrame) -> DataFrame:
-        bags = bags_of(members.select(F.col("id").alias("k1")).distinct())
-        return members.join(bags, "id").select(*members.columns, "bag").repartition("key").sortWithinPartitions("key").mapInArrow(linked_within(_judges(similar)), "a bigint, b bigint")
+        bags = bags_of(members.select(F.col("id").alias("k1")))
+        return by_bucket(members.join(bags, "id")).mapInArrow(linked_within(_judges(similar)), "a bigint, b bigint")
 
     groups, _ = clusters(buckets, texts.select(F.col("k1").alias("id"), *SKETCH), differing, NEAR, verify, within=within)
     discard(*spent)

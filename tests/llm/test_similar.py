@@ -339,3 +339,24 @@ def test_near_copies_are_judged_in_their_bucket():
     alike = [jaccard(bag(texts[a]), bag(texts[b])) >= 0.8 for a, b in zip(i, j)]
     assert any(alike) and not all(alike) and verify(i, j).tolist() == alike
     assert near(i, j)[np.array(alike)].all() and not near(np.array([0]), np.array([12])).any()
+
+
+def test_what_belongs_to_an_item_is_joined_once(spark):
+    """Eighty items share eight buckets: what is joined to an item comes before it is dealt to them."""
+    buckets = spark.createDataFrame([(k, i) for k in range(8) for i in range(80)], "key long, id long")
+    sketches = spark.createDataFrame([(i, i) for i in range(80)], "id long, s long")
+    seen = []
+
+    def within(members):
+        seen.append((members.count(), clusters.by_bucket(members).collect()))
+        return members.selectExpr("id as a", "id + 1 as b").where("b < 80")
+
+    def none(pairs):
+        return pairs.where("false")
+
+    groups, _ = clusters.clusters(buckets, sketches, lambda x, y: x("s") * 0, 0, none, within=within)
+    (items, rows), *more = seen
+    assert not more and items == 80 and len(rows) == 640
+    assert {(r["key"], r["id"]) for r in rows} == {(k, i) for k in range(8) for i in range(80)}
+    assert all(r["keys"] == list(range(8)) and r["root"] == r["id"] == r["id_s"] for r in rows)
+    assert {r["root"] for r in groups.collect()} == {0}

@@ -161,7 +161,7 @@ def clusters(
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(groups (id, root), links (a, b)) of the items in buckets (key, id); a row may stand there more than once.
 
-    sketches (id, columns) is a materialized table of all items; it is joined only to items that share a bucket.
+    sketches (id, columns) is of a materialized table of all items; those of items that share a bucket are kept.
     distance(x, y) is the column that compares two sketches, x("s") being an item's sketch column s; pairs over near
     are no candidates. verify(pairs (a, b)) keeps the pairs that are truly alike; before its first call, prepare gets all ids (id) that
     may come in pairs. Without nearest the first two rounds are one. within(members (id, root, places: its
@@ -182,7 +182,10 @@ def clusters(
     shared = materialize(shared.select("key", "id").distinct(), "shared")
     lead = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).over(w)
     met = buckets = materialize(shared.withColumn("n", F.count("*").over(w)).withColumn("lead", lead).select("key", "id", "n", F.col("lead.id").alias("lead")), "buckets")
-    discard(shared)
+    # Most items meet no other: the sketches of those that do are joined several times, those of all only once.
+    some = materialize(shared.select("id").distinct(), "meeting")
+    sketches = materialize(join_sized(sketches, some, "id", "left_semi", 16), "sketches")
+    discard(shared, some)
     bare = materialize(met.where("id <> lead").select("id", "lead").distinct(), "star-pairs")
     star = materialize(sketched(sketched(bare, "id"), "lead").select("id", "lead", far("id", "lead").alias("far")).where(F.col("far") <= near), "star")
     # The pair of a bucket of two is a pair with the leader.
@@ -244,5 +247,5 @@ def clusters(
         met_here = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
         cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.col("x_id") != F.col("x_lead")) & (F.col("y_id") != F.col("y_lead")) & (far("x", "y") <= near) & met_here)
         add(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "rest")
-    discard(bare, star, buckets, own, held)
+    discard(bare, star, buckets, own, held, sketches)
     return groups, links

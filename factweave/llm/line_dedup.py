@@ -54,6 +54,7 @@ FEW = 5
 SLICE = 1 << 18
 
 _digit = re.compile(r"\d")
+_STEP = np.array(0x9E3779B97F4A7C15, U64)
 _LANES = np.array([0, 1, 1 << 32, (1 << 32) + 1], U64)
 
 
@@ -94,10 +95,11 @@ def _minima(lines: list[str], gram: int, level: np.ndarray, parts: int) -> np.nd
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     n = len(points) - gram + 1
-    h = points[:n] + U64(1)
-    for k in range(1, gram):
-        h *= U64(0x9E3779B97F4A7C15)
-        h += points[k : n + k]
+    two = points[:-1] * _STEP + points[1:]  # n-grams are of even length
+    h = two[:n] + _STEP
+    for k in range(2, gram, 2):
+        h *= _STEP * _STEP
+        h += two[k : n + k]
     whole = np.ones(len(points), bool)
     for k in range(1, gram):
         whole[np.cumsum(sizes) - k] = False
@@ -196,6 +198,10 @@ def alike(a: str, b: str, similar: float = SIMILAR) -> bool:
 
 #: Pairs for each word of a band's width from which on working side by side pays.
 BESIDE = 40
+#: Edits for which a band of one word is wide enough; pairs that may have more are tried with these first.
+NARROW = 31
+#: Pairs side by side, and characters of them.
+ROWS, CELLS = 1024, 1 << 21
 
 
 def _common(a: str, b: str) -> int:
@@ -304,9 +310,11 @@ def _may_be(profiles: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray
 
 
 def alike_pairs(a: list[str], b: list[str], similar: float = SIMILAR) -> np.ndarray:
-    """alike() of every pair, many at once."""
+    """alike() of every pair, many at once. Most alike lines differ in far fewer places than they may: a band for NARROW
+    edits finds them, and only those it leaves open are taken through the band of all the edits they may have."""
     out = np.zeros(len(a), bool)
-    waiting: dict[int, list[tuple[int, str, str, int]]] = {}
+    narrow: list[tuple[int, str, str, int]] = []
+    open_: list[tuple[int, str, str, int]] = []
     for at, (x, y) in enumerate(zip(a, b)):
         if len(x) < len(y):
             x, y = y, x
@@ -320,19 +328,36 @@ def alike_pairs(a: list[str], b: list[str], similar: float = SIMILAR) -> np.ndar
         if len(x) <= most:
             out[at] = True
         else:
-            waiting.setdefault((2 * most + 1) // 64 + 1, []).append((at, x, y, most))
+            (narrow if len(x) - len(y) <= NARROW else open_).append((at, x, y, most))
+    _compare([(at, x, y, min(most, NARROW)) for at, x, y, most in narrow], 1, out)
+    open_ += [row for row in narrow if row[3] > NARROW and not out[row[0]]]
+    waiting: dict[int, list[tuple[int, str, str, int]]] = {}
+    for low in range(0, len(open_), 256):
+        part = open_[low : low + 256]
+        here = np.arange(len(part))
+        profiles = _profiles([y for row in part for y in row[1:3]])
+        for row, may in zip(part, _may_be(profiles, 2 * here, 2 * here + 1, np.array([row[3] for row in part]))):
+            if may:
+                waiting.setdefault((2 * row[3] + 1) // 64 + 1, []).append(row)
     for width, rows in waiting.items():
-        rows.sort(key=lambda r: len(r[2]))
-        for low in range(0, len(rows), 1024):
-            part = rows[low : low + 1024]
-            if len(part) < BESIDE * width:
-                for at, x, y, most in part:
-                    out[at] = edit_distance(x, y, most) <= most
-            else:
-                out[[r[0] for r in part]] = _banded([r[1] for r in part], [r[2] for r in part], np.array([r[3] for r in part]), width)
+        _compare(rows, width, out)
     return out
 
 
+def _compare(rows: list[tuple[int, str, str, int]], width: int, out: np.ndarray) -> None:
+    """Sets out[at] of every (at, longer, shorter, most) whose distance is at most `most`."""
+    rows = sorted(rows, key=lambda r: -len(r[1]))
+    low = 0
+    while low < len(rows):
+        part = rows[low : low + max(1, min(ROWS, CELLS // (len(rows[low][1]) + 64 * width)))]
+        low += len(part)
+        if len(part) < BESIDE * width:
+            for at, x, y, most in part:
+                out[at] = edit_distance(x, y, most) <= most
+        else:
+            out[[r[0] for r in part]] = _banded([r[1] for r in part], [r[2] for r in part], np.array([r[3] for r in part]), width)
+
+
 def _lines(text: str | None, least: int) -> list[tuple[int, str]]:
     """(line number, normalised line) of the lines that take part."""
     lines = _digit.sub("0", (text or "").lower()).split("\n")
@@ -514,7 +539,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def prepare(ids: DataFrame) -> None:
         nonlocal lines
-        wanted = materialize(distinct.select("id", "first.doc_id").join(ids, "id", "left_semi"), "wanted")
+        wanted = materialize(join_sized(distinct.select("id", "first.doc_id"), ids, "id", "left_semi", 16), "wanted")
         holders = join_sized(own, wanted.select("doc_id").distinct(), own["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi", 16)
         found = join_sized(holders.select("text").mapInArrow(_texts(least), "id bigint, line string"), wanted.select("id"), "id", "left_semi", 16)
         lines = materialize(found.dropDuplicates(["id"]), "line-texts")

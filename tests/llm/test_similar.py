@@ -360,3 +360,41 @@ def test_what_belongs_to_an_item_is_joined_once(spark):
     assert {(r["key"], r["id"]) for r in rows} == {(k, i) for k in range(8) for i in range(80)}
     assert all(r["keys"] == list(range(8)) and r["root"] == r["id"] == r["id_s"] for r in rows)
     assert {r["root"] for r in groups.collect()} == {0}
+
+
+def test_sketches_of_items_that_meet_none_are_not_joined_again(spark, monkeypatch):
+    buckets = spark.createDataFrame([(i, i) for i in range(500)] + [(1000 + i // 2, i) for i in range(10)], "key long, id long")
+    sketches = spark.createDataFrame([(i, i) for i in range(500)], "id long, s long")
+    rights = []
+
+    def counted(left, right, on, how, row_bytes=32):
+        rights.append(right.count())
+        return left.join(right, on, how)
+
+    monkeypatch.setattr(clusters, "join_sized", counted)
+    groups, _ = clusters.clusters(buckets, sketches, lambda x, y: x("s") * 0, 0, lambda pairs: pairs)
+    assert max(rights) <= 10
+    assert {r["id"]: r["root"] for r in groups.collect()} == {i: i - i % 2 for i in range(10)}
+
+
+def test_few_edits_of_long_lines_need_a_narrow_band(monkeypatch):
+    r = random.Random(12)
+    a = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(700, 1200))) for _ in range(150)]
+    b = []
+    for at, line in enumerate(a):
+        marred = list(line)
+        for k in [0, 350, len(line) - 1] if at < 100 else range(0, len(line), 8 if at % 2 else 14):
+            marred[k] = "x"
+        b.append("".join(marred))
+    expected = [line_dedup.alike(x, y) for x, y in zip(a, b)]
+    banded, rows = line_dedup._banded, []
+
+    def seen(longer, shorter, most, width):
+        rows.append((width, len(longer)))
+        return banded(longer, shorter, most, width)
+
+    monkeypatch.setattr(line_dedup, "_banded", seen)
+    assert line_dedup.alike_pairs(a[:100], b[:100]).all() and {width for width, _ in rows} == {1}
+    monkeypatch.setattr(line_dedup, "BESIDE", 1)
+    assert line_dedup.alike_pairs(a, b).tolist() == expected and expected.count(True) == 125
+    assert line_dedup.alike_pairs(a, a[1:] + a[:1]).tolist() == [False] * 150

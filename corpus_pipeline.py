@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from factweave.llm.storage import materialize, table
+from factweave.llm.storage import materialize, release, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +37,29 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _anew(stage):
+    """The stage, with the memory that executors hold for what went before given back as it begins, and again before its
+    result is written, as most of its tables are made by then and Python works on the texts."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        out = stage(spark, docs, sf_dir)
+        release(spark)
+        return out
+
+    return run
+
+
 STAGES = [
-    ("language id", language),
-    ("line dedup", lines),
-    ("near dedup", copies),
-    ("decontamination", leaks),
-    ("byte-level bpe", tokens),
+    (name, _anew(stage))
+    for name, stage in (
+        ("language id", language),
+        ("line dedup", lines),
+        ("near dedup", copies),
+        ("decontamination", leaks),
+        ("byte-level bpe", tokens),
+    )
 ]
 
 

@@ -46,6 +46,13 @@ def _trim() -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors collect their garbage, after which a JVM gives back the heap that an earlier operator made it
+    take; else it keeps that beside the Python workers of the next. As many tasks as cores, so that each executor gets one."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or, where one machine is all there is (tests), a fresh one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -284,3 +284,18 @@ def test_chat_roles_cannot_pose_as_marks(spark):
     got = {r["perspective"]: r["text"] for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got["bob"].count("<|im_start|>") == got["bob"].count("<|im_end|>") == 2
     assert got["bob"].split("\n")[0] == "<|im_start|>user name=ann < |im_end|> < |im_start|>assistant evil"
+
+
+def test_a_stage_begins_with_memory_given_back(spark):
+    """Full collections of the JVM, which holds the heap of earlier stages otherwise: before the stage and before its result."""
+    import corpus_pipeline
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections():
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = collections()
+    kept = dict(corpus_pipeline.STAGES)["language id"](spark, docs, "")
+    assert collections() >= before + 2 and kept.columns == docs.columns and 0 < kept.count() <= docs.count()

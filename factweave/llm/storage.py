@@ -72,16 +72,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and reads it back: lineage ends there and survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Writes df below the shared folder and reads it back: lineage ends there and survives lost executors. The
+    files of its shuffles go when it is written. Python workers get so many rows at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path

@@ -124,6 +124,65 @@ def test_word_order_tells(spark):
     assert not any(kept[i] for i in range(120, 124) if i in kept) and any(i in kept for i in range(120, 124))
 
 
+def plain_word_scores(rows):
+    """Back-off over word trigrams by dictionaries, without the counts of the text itself and its copies."""
+    texts = [(lang or "", quality.normal(t).split()) for _, lang, t in rows]
+    texts = [(lang, (None, None, *w)) for lang, w in texts if w]
+    total, room, ends = Counter(), Counter(), {}
+    for lang, w in texts:
+        for i in range(2, len(w)):
+            for k in (1, 2, 3):
+                g = w[i - k + 1 : i + 1]
+                total[lang, g] += 1
+                room[lang, k, g[:-1]] += 1
+                ends.setdefault((lang, k, g[:-1]), set()).add(g)
+    out, many = {}, Counter(texts)
+    for (lang, w), copies in many.items():
+        own, around = Counter(), Counter()
+        for i in range(2, len(w)):
+            for k in (1, 2, 3):
+                own[w[i - k + 1 : i + 1]] += 1
+                around[k, w[i - k + 1 : i]] += 1
+        v = 0.0
+        for i in range(2, len(w)):
+            for k in (3, 2, 1):
+                g = w[i - k + 1 : i + 1]
+                others, left = total[lang, g] - copies * own[g], room[lang, k, g[:-1]] - copies * around[k, g[:-1]]
+                types = len(ends[lang, k, g[:-1]])
+                if others > 0:
+                    v += math.log((others - quality.DISCOUNT) / left)
+                    break
+                v += math.log(quality.DISCOUNT * min(types, left) / left) if left > 0 else 0.0
+                v -= math.log(types + 1) if k == 1 else 0.0
+        out[lang, w[2:]] = v / (len(w) - 2)
+    return out
+
+
+def test_word_scores_against_plain_model(spark, monkeypatch):
+    """And tables go when they are read: a pass leaves no more than its sums, whether words are hot or not."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["é", "the"] * 15
+    rows = [(i, ["en", "fr", None][i % 3], " ".join(r.choices(words, k=r.randint(1, 40)))) for i in range(60)]
+    rows += [(100 + i, *rows[i][1:]) for i in range(6)] + [(200, "en", None), (201, "en", "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    expected = plain_word_scores(rows)
+    written, gone = [], []
+    keep, drop = quality.materialize, quality.discard
+    monkeypatch.setattr(quality, "materialize", lambda df, name, *x: written.append(keep(df, name, *x)) or written[-1])
+    monkeypatch.setattr(quality, "discard", lambda *tables: gone.extend(t.scratch for t in tables) or drop(*tables))
+    for hot in (quality.HOT, 3):
+        monkeypatch.setattr(quality, "HOT", hot)
+        scores = quality.word_scores(docs)
+        assert {t.scratch for t in written} - set(gone) == {scores.scratch}
+        got = {x["key"]: x["word_logp"] for x in scores.collect()}
+        assert len(got) == len(expected)
+        for _, lang, t in rows:
+            e = expected.get((lang or "", tuple(quality.normal(t).split())))
+            assert e is None or got[quality._word_key(lang, t)] == pytest.approx(e, abs=1e-9)
+        drop(scores)
+        gone.append(scores.scratch)
+
+
 def test_plain_rules(spark, odd, empty):
     rows = quality.quality(odd).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}

@@ -612,7 +612,7 @@ def quote_guard_exact(spark, sf_dir):
     met = None
     for at in range(blocks):
         own = quotes.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == at) if blocks > 1 else quotes
-        part = docs.join(F.broadcast(own), F.contains("ns", "nq"))
+        part = guard.meet(docs, own, "ns", "nq")
         met = part if met is None else met.unionByName(part)
     return guard.verify_quotes(met).select("item_id", "doc_id", "quote_match", "quote_char_start")
 

@@ -268,3 +268,20 @@ def test_ingest_documents(spark, tmp_path):
     (entity,) = store.read("entity_registry").collect()
     assert sorted([entity["key"], *entity["aliases"]]) == ["acme data", "acme datas"]
     assert ingest.ingest(store, docs, propose) and {n: store.read(n).count() for n in first} == first
+
+
+def test_meet_finds_every_quote_once(spark, monkeypatch):
+    monkeypatch.setattr(guard, "PAIRS_AT_ONCE", 50)
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abé ß") for _ in range(n))
+    texts = [word(r.randint(0, 300)) for _ in range(60)] + ["", "tail" * 9]
+    quotes = [word(r.randint(0, 4)) for _ in range(40)] + [t[a : a + r.randint(5, 40)] for t in texts[:40] for a in [r.randint(0, 40)]] + ["tail" * 2, "tail" * 9, "tail" * 10, "tailtai"]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "d long, t string"), spark.createDataFrame([(i, q, q) for i, q in enumerate(quotes)], "i int, q string, own string")
+    out = guard.meet(docs, asked, "t", "q")
+    assert out.columns == ["d", "i", "own"]
+    assert sorted((x["d"], x["i"]) for x in out.collect()) == [(d, i) for d, t in enumerate(texts) for i, q in enumerate(quotes) if q in t]
+
+
+def test_quotes_are_verified_in_one_pass(spark):
+    plan = guard.verify_quotes(spark.createDataFrame([("a", "b")], "quote string, source string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan

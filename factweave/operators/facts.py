@@ -11,6 +11,12 @@ from ..functions import flags, keys, period, quantity, text
 HASHED = ["entity_key", "attribute_key", "fact_kind", "hashed_value", "unit_canonical", "currency", "period_canonical", "as_of_date", "estimate_status", "basis_flags", "scope_flags", "attributed_to", "doc_id"]
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to as many partitions as a shuffle has, by columns or in turn. For dear work on rows that come from a small
+    file: that is read by one task, and Spark would join the small partitions of another shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def content_hash() -> Column:
     """One digest for facts that state the same: within a document, whatever the page; numbers to three decimals."""
     value = F.when(F.col("value_num").isNotNull(), quantity.thousandths(F.col("value_num")).cast("string")).otherwise(F.lower(text.norm_ws(F.col("value_text"))))

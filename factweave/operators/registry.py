@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import key_score, key_similarity
+from .facts import spread
 
 
 def link_new_keys(candidates: list[str], known: list[str], threshold: float) -> dict[str, str]:
@@ -32,23 +36,94 @@ def link_new_keys(candidates: list[str], known: list[str], threshold: float) ->
     return out
 
 
-def similar_keys(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(key, other, score) of the keys in left and right (column key) that score at least the threshold.
+#: Ways to strike letters out of a key, for each length of the other key, up to which keys meet on what is left.
+WAYS = 500
+
+
+def _kept(n, m, threshold: float):
+    """The letters that keys of n and m letters have in common, in order, if they score the threshold."""
+    least = threshold * (n + m) / 200.0 - 1e-9
+    return F.ceil(least) if isinstance(least, Column) else math.ceil(least)
+
+
+def _forms(df: DataFrame, name: str) -> DataFrame:
+    """(key as name, form, n): each key as written and with its words sorted, with the form's length."""
+    words = F.filter(F.split("key", r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    both = F.array_distinct(F.array("key", F.array_join(F.array_sort(words), " ")))
+    return spread(df.where("key is not null").select("key"), "key").distinct().select(F.col("key").alias(name), F.explode(both).alias("form")).withColumn("n", F.length("form"))
+
+
+def _struck(forms: DataFrame, ways: dict[int, set[int]]) -> DataFrame:
+    """forms as (name, n, left, gone): what is left of a form, hashed, when so many letters are struck out; ways: how many, by length."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+    named = lambda texts, gone: F.transform(texts, lambda t: F.struct(F.xxhash64(t).alias("left"), F.lit(gone).alias("gone")))
+    texts, out = F.array("form"), []
+    for gone in range(max(map(max, ways.values()), default=-1) + 1):
+        if gone:
+            texts = F.array_distinct(F.flatten(F.transform(texts, without)))
+        if own := [n for n, some in ways.items() if gone in some]:
+            out.append(F.when(F.col("n").isin(own), named(texts, gone)))
+    none = F.array().cast("array<struct<left:bigint,gone:int>>")
+    return forms.select(forms.columns[0], "n", F.inline(F.concat(*[F.coalesce(x, none) for x in out]))).where(F.col("n").isin(list(ways)))
+
 
-    Blocked, not crossed: a score of t needs lengths within t / (200 - t) of each other and a shared character
-    bigram or, if one of the keys is short, a shared letter. So keys of 8 characters and more meet on bigrams, and short
-    ones meet on letters, with those longer ones too that are not too long to be alike.
+def _rare(mine: DataFrame, theirs: DataFrame, length: dict[int, int]) -> DataFrame:
+    """mine as (name, n, gram): of each form the rarest of its bigrams, as many as length has for its own length."""
+    def grams(df: DataFrame) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substr("form", i, F.lit(2)))
+        numbered = F.transform("pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", F.lit(1), i), lambda x: x == g)).cast("string")))
+        return df.withColumn("pairs", pairs).select(df.columns[0], "form", "n", F.explode(numbered).alias("gram"))
+
+    often = grams(mine).select("gram").unionByName(grams(theirs).select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    by_rank = grams(mine).join(often, "gram").groupBy(mine.columns[0], "form", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("all"))
+    upto = F.element_at(F.create_map(*[F.lit(x) for pair in length.items() for x in pair]), F.col("n"))
+    return by_rank.select(mine.columns[0], "n", F.explode(F.slice("all", F.lit(1), upto)).alias("one")).select(mine.columns[0], "n", F.col("one.gram").alias("gram"))
+
+
+def meeting_keys(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(key, other), once: all pairs of keys in left and right (column key) that may score the threshold, and few more.
+
+    Keys of n and m letters score it if they have k = threshold * (n + m) / 200 letters in common, in order: then they
+    are equal once n - k letters are struck out of the one and m - k out of the other. So they meet on what is left of
+    them, however many keys share most of their letters. Where that would be more than WAYS texts for a key, they share
+    k - 1 - (n - k) - (m - k) bigrams, and so one of the rarest of either key. If even that tells nothing, as with long
+    keys and low thresholds, all keys of these lengths meet.
     """
-    ratio = threshold / (200.0 - threshold)
-    letters = lambda name: F.split(name, "")
-    pairs = lambda name: F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(F.col(name), i, F.lit(2)))
+    mine, theirs = _forms(left, "key"), _forms(right, "other")
+    lengths = lambda df: [r["n"] for r in df.select("n").distinct().collect()]
+    strike, rare, every = (({}, {}) for _ in range(3))
+    for n, m in itertools.product(lengths(mine), lengths(theirs)):
+        k = max(0, _kept(n, m, threshold))
+        i, j = n - k, m - k
+        if min(i, j) < 0:
+            continue
+        if max(math.comb(n, i), math.comb(m, j)) <= WAYS:
+            strike[0].setdefault(n, set()).add(i)
+            strike[1].setdefault(m, set()).add(j)
+            continue
+        many, (a, b) = (rare, (2 * i + j + 1, 2 * j + i + 1)) if k - 1 - i - j >= 1 else (every, (1, 1))
+        many[0][n], many[1][m] = max(a, many[0].get(n, 0)), max(b, many[1].get(m, 0))
+    pair = lambda df, **more: df.select(df.columns[0], *[F.col(c).alias(f"{df.columns[0]}_{c}") for c in ("n", *more)], *[c for c in df.columns[1:] if c not in ("n", *more)])
+    k = _kept(F.col("key_n"), F.col("other_n"), threshold)
+    fits = (k <= F.col("key_n")) & (k <= F.col("other_n"))
+    met = []
+    if strike[0]:
+        a, b = pair(_struck(mine, strike[0]), gone=1), pair(_struck(theirs, strike[1]), gone=1)
+        met.append(a.join(b, "left").where((F.col("key_gone") == F.col("key_n") - F.greatest(k, F.lit(0))) & (F.col("other_gone") == F.col("other_n") - F.greatest(k, F.lit(0)))))
+    of = lambda df, those: df.where(F.col("n").isin(list(those)))
+    if rare[0]:
+        a, b = of(mine, rare[0]), of(theirs, rare[1])
+        met.append(pair(_rare(a, b, rare[0])).join(pair(_rare(b, a, rare[1])), "gram").where(fits))
+    if every[0]:
+        met.append(pair(of(mine, every[0]).drop("form")).crossJoin(pair(of(theirs, every[1]).drop("form"))).where(fits))
+    if not met:
+        return mine.select("key", F.lit(None).cast("string").alias("other")).where("false")
+    return reduce(DataFrame.unionByName, [df.select("key", "other") for df in met]).distinct()
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        n = F.length(name)
-        return df.select(F.col("key").alias(name)).distinct().select(name, n.alias(f"{name}_n"), F.explode(F.array_distinct(F.when(n < 8, letters(name)).when(n * ratio < 8, F.concat(letters(name), pairs(name))).otherwise(pairs(name)))).alias("gram"))
 
-    met = grams(left, "key").join(grams(right, "other"), "gram").where((F.col("key_n") >= ratio * F.col("other_n")) & (F.col("other_n") >= ratio * F.col("key_n"))).select("key", "other").distinct()
-    return met.withColumn("score", key_similarity("key", "other")).where(F.col("score") >= threshold)
+def similar_keys(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, score) of the keys in left and right (column key) that score at least the threshold."""
+    return meeting_keys(left, right, threshold).withColumn("score", key_similarity("key", "other")).where(F.col("score") >= threshold)
 
 
 def best_links(candidates: DataFrame, known: DataFrame, threshold: float) -> DataFrame:

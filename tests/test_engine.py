@@ -285,3 +285,23 @@ def test_meet_finds_every_quote_once(spark, monkeypatch):
 def test_quotes_are_verified_in_one_pass(spark):
     plan = guard.verify_quotes(spark.createDataFrame([("a", "b")], "quote string, source string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_keys_meet_only_if_they_may_be_alike(spark):
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "key string")
+    known, marred = [f"supplier#{i:09d}" for i in range(300)], [f"supplier#{i:09d} x" for i in range(300)]
+    met = sorted(map(tuple, registry.meeting_keys(frame(marred), frame(known), 90.0).collect()))
+    assert met == sorted(zip(marred, known))
+
+
+def test_similar_keys_of_long_and_odd_forms(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcde é") for _ in range(r.randint(1, 9)))
+    own = {" ".join(word() for _ in range(r.randint(1, 8))) for _ in range(60)} | {"  ", " ", "x" * 60}
+    for k in sorted(own):
+        at = r.randint(0, len(k))
+        own |= {k[:at] + "e" + k[at + r.randint(0, 2) :], " ".join(reversed(k.split()))}
+    df = spark.createDataFrame([(k,) for k in own] + [(None,)], "key string")
+    for threshold in (90.0, 60.0):
+        found = sorted((x["key"], x["other"]) for x in registry.similar_keys(df, df, threshold).collect())
+        assert found == sorted((a, b) for a in own for b in own if keys.key_score(a, b) >= threshold)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import key_score, key_similarity
 from .facts import spread
+from .vectors import nearest_vectors  # noqa: F401
 
 
 def link_new_keys(candidates: list[str], known: list[str], threshold: float) -> dict[str, str]:
@@ -180,18 +181,3 @@ def register(registry: DataFrame, keys: DataFrame) -> DataFrame:
     """registry with the keys that it lacks, without aliases."""
     fresh = keys.select("key").distinct().join(registry, "key", "left_anti")
     return registry.unionByName(fresh.select("key", F.array().cast("array<string>").alias("aliases")))
-
-
-def nearest_vectors(queries: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """(vec_id, best_id, similarity) of each query's nearest known vector by cosine, if it reaches the threshold.
-
-    known is a registry, so it is counted and broadcast while it is small; ties go to the lower id.
-    """
-    unit = lambda df, v: df.select(F.col("vec_id").alias(f"{v}_id"), F.col("embedding").cast("array<double>").alias(v), F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)).alias(f"{v}_norm"))
-    right = unit(known, "k")
-    if known.count() <= 100_000:
-        right = F.broadcast(right)
-    dot = F.aggregate(F.zip_with("q", "k", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = unit(queries, "q").join(right, F.col("q_id") != F.col("k_id")).select("q_id", "k_id", (dot / F.nullif(F.col("q_norm") * F.col("k_norm"), F.lit(0.0))).alias("similarity"))
-    best = scored.groupBy("q_id").agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("k_id")).alias("k"))).alias("m"))
-    return best.select(F.col("q_id").alias("vec_id"), (-F.col("m.k")).alias("best_id"), F.col("m.similarity").alias("similarity")).where(F.col("similarity") >= threshold)

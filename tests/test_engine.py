@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave import queries
 from factweave.functions import keys
-from factweave.operators import chunking, guard, reconcile, registry
+from factweave.operators import chunking, guard, reconcile, registry, vectors
 from factweave.operators.facts import first_by_hash, normalize
 from factweave.operators.storage import FactStore
 from factweave.schemas import VERSION
@@ -305,3 +305,22 @@ def test_similar_keys_of_long_and_odd_forms(spark):
     for threshold in (90.0, 60.0):
         found = sorted((x["key"], x["other"]) for x in registry.similar_keys(df, df, threshold).collect())
         assert found == sorted((a, b) for a in own for b in own if keys.key_score(a, b) >= threshold)
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 40)
+    r = random.Random(5)
+    rows = [[r.gauss(0, 1) for _ in range(5)] for _ in range(150)]
+    rows += [rows[i % 7] for i in range(40)] + [[2 * x for x in rows[3]], [0.0] * 5, [1.0, None, 0.0, 0.0, 0.0], None, [], [1.0] * 3, [1.0, 2.0, 3.0], [float("nan"), 1.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(rows)) + [(None, rows[0])], "vec_id long, embedding array<double>").repartition(3)
+    got = {x["vec_id"]: (x["best_id"], x["similarity"]) for x in registry.nearest_vectors(df, df, -1.0).collect()}
+    fit = {i: v for i, v in enumerate(rows) if v and None not in v and any(v) and v[0] == v[0]}
+    expected = {}
+    for i, v in fit.items():
+        score = lambda k: round(sum(a * b for a, b in zip(v, fit[k])) / (sum(a * a for a in v) * sum(b * b for b in fit[k])) ** 0.5, 9)  # noqa: E731, B023
+        if others := [k for k in fit if k != i and len(fit[k]) == len(v)]:
+            expected[i] = max(others, key=lambda k: (score(k), -k))  # noqa: B023
+    nan = len(rows) - 1
+    assert [got[i][0] for i in (nan - 2, nan - 1)] == [nan, nan] and got[nan][0] == nan - 2  # NaN is the greatest
+    assert {i: k for i, (k, _) in got.items() if i < nan - 2} == {i: k for i, k in expected.items() if i < nan - 2}
+    assert set(got) == set(expected) | {nan}

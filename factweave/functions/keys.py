@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .text import casefold_key, norm_ws
+from .text import casefold_key, let, norm_ws
 
 # Legal forms, forms of address, self references, filler words, plurals and known attribute names.
 LEGAL = (
@@ -67,13 +67,20 @@ def person_display(name: Column) -> Column:
 def attribute_key(label: Column) -> Column:
     """The canonical name of an attribute: known names as they stand, without marks, then without filler and plurals."""
     known = F.create_map(*[F.lit(x) for key, names in ATTRIBUTES.items() for name in names for x in (name, key)])
-    n = casefold_key(label)
-    plain = norm_ws(F.regexp_replace(n, r"(?U)[^\w\s%/&-]", " "))
-    core = norm_ws(F.regexp_replace(plain, FILLER, " "))
-    for word in PLURALS:
-        core = F.regexp_replace(core, rf"\b{word}\b", word[:-1])
-    core = norm_ws(core)
-    return F.when(n == "", "").otherwise(F.coalesce(F.try_element_at(known, n), F.try_element_at(known, plain), F.try_element_at(known, core), core))
+
+    def bare(n: Column) -> Column:
+        return norm_ws(F.regexp_replace(n, r"(?U)[^\w\s%/&-]", " "))
+
+    def core(plain: Column) -> Column:
+        out = norm_ws(F.regexp_replace(plain, FILLER, " "))
+        for word in PLURALS:
+            out = F.regexp_replace(out, rf"\b{word}\b", word[:-1])
+        return norm_ws(out)
+
+    def found(plain: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, plain), let(core(plain), lambda c: F.coalesce(F.try_element_at(known, c), c)))
+
+    return let(casefold_key(label), lambda n: F.when(n == "", "").otherwise(F.coalesce(F.try_element_at(known, n), let(bare(n), found))))
 
 
 def attribute_display(label: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_digits, norm_ws
+from .text import ascii_digits, let, norm_ws
 
 # Scale words by scale, currency marks and unit words in their order of precedence.
 SCALES = {
@@ -71,13 +71,13 @@ def parse_quantity(value: Column, unit: Column, label: Column, kind: Column) ->
     unit = F.coalesce(unit, F.lit(""))
 
     def read(raw: Column) -> Column:
-        return _let(norm_ws(F.concat(raw, F.lit(" "), unit)), lambda both: F.struct(
+        return let(norm_ws(F.concat(raw, F.lit(" "), unit)), lambda both: F.struct(
             raw.alias("raw"), both.alias("both"), currency_of(both).alias("currency"), scale_of(both).alias("scale"), first_number(raw).alias("number"),
             is_negative(raw).alias("negative"), both.rlike(PERCENT).alias("percent"), both.rlike(BASIS_POINTS).alias("points"),
         ))
 
-    parts = _let(norm_ws(ascii_digits(F.coalesce(value, F.lit("")))), read)
-    return _let(parts, lambda p: _quantity(p, unit, label, kind))
+    parts = let(norm_ws(ascii_digits(F.coalesce(value, F.lit("")))), read)
+    return let(parts, lambda p: _quantity(p, unit, label, kind))
 
 
 def _quantity(p: Column, unit: Column, label: Column, kind: Column) -> Column:
@@ -114,19 +114,14 @@ def _quantity(p: Column, unit: Column, label: Column, kind: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value worked out once, as an expression tree has no names for its parts."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _halves(v: Column) -> Column:
     """v as the exact sum of two numbers of half its digits."""
-    return _let(v * 134217729.0, lambda c: _let(c - (c - v), lambda high: F.struct(high.alias("h"), (v - high).alias("l"))))
+    return let(v * 134217729.0, lambda c: let(c - (c - v), lambda high: F.struct(high.alias("h"), (v - high).alias("l"))))
 
 
 def _product_error(u: Column, v: Column, w: Column) -> Column:
     """u * v - w, exactly, where w is u * v rounded."""
-    return _let(F.struct(_halves(u).alias("u"), _halves(v).alias("v")), lambda s: ((s["u"]["h"] * s["v"]["h"] - w) + s["u"]["h"] * s["v"]["l"] + s["u"]["l"] * s["v"]["h"]) + s["u"]["l"] * s["v"]["l"])
+    return let(F.struct(_halves(u).alias("u"), _halves(v).alias("v")), lambda s: ((s["u"]["h"] * s["v"]["h"] - w) + s["u"]["h"] * s["v"]["l"] + s["u"]["l"] * s["v"]["h"]) + s["u"]["l"] * s["v"]["l"])
 
 
 def _rounded(x: Column, power: Column) -> Column:
@@ -137,15 +132,15 @@ def _rounded(x: Column, power: Column) -> Column:
 
     def settle(s: Column) -> Column:
         x, ten, up, p, floor = s["x"], s["ten"], s["up"], s["p"], F.floor(s["p"]).cast("double")
-        rest = F.when(up, _product_error(x, ten, p)).otherwise(_let(p * ten, lambda exact: (x - exact) - _product_error(p, ten, exact)))
-        tie = _let(rest, lambda r: F.when(r > 0, floor + 1).when(r < 0, floor).otherwise(floor + F.pmod(floor, F.lit(2.0))))
+        rest = F.when(up, _product_error(x, ten, p)).otherwise(let(p * ten, lambda exact: (x - exact) - _product_error(p, ten, exact)))
+        tie = let(rest, lambda r: F.when(r > 0, floor + 1).when(r < 0, floor).otherwise(floor + F.pmod(floor, F.lit(2.0))))
         return F.when(p - floor == 0.5, tie).when(p - floor > 0.5, floor + 1).otherwise(floor)
 
     def scaled(s: Column) -> Column:
         return F.struct(s["x"].alias("x"), s["ten"].alias("ten"), s["up"].alias("up"), F.when(s["up"], s["x"] * s["ten"]).otherwise(s["x"] / s["ten"]).alias("p"))
 
-    start = _let(power, lambda n: F.struct(x.alias("x"), F.pow(F.lit(10.0), F.abs(n)).alias("ten"), (n >= 0).alias("up")))
-    return _let(start, lambda s: _let(scaled(s), settle))
+    start = let(power, lambda n: F.struct(x.alias("x"), F.pow(F.lit(10.0), F.abs(n)).alias("ten"), (n >= 0).alias("up")))
+    return let(start, lambda s: let(scaled(s), settle))
 
 
 def significant(x: Column, digits: int = 3) -> Column:
@@ -156,8 +151,8 @@ def significant(x: Column, digits: int = 3) -> Column:
         return F.struct((F.signum(x) * F.when(full, s["m"] / 10).otherwise(s["m"])).alias("m"), (s["size"] - (digits - 1) + F.when(full, 1).otherwise(0)).alias("e"))
 
     size = F.floor(F.log10(F.abs(x))).cast("int")
-    pair = _let(size, lambda n: F.struct(n.alias("size"), _rounded(F.abs(x), F.lit(digits - 1) - n).alias("m")))
-    return F.when(x == 0, F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("e"))).otherwise(F.when(x.isNotNull(), _let(pair, made)))
+    pair = let(size, lambda n: F.struct(n.alias("size"), _rounded(F.abs(x), F.lit(digits - 1) - n).alias("m")))
+    return F.when(x == 0, F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("e"))).otherwise(F.when(x.isNotNull(), let(pair, made)))
 
 
 def thousandths(x: Column) -> Column:

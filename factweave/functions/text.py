@@ -27,6 +27,11 @@ def _latin_table() -> tuple[str, str]:
 _ACCENTED, _BASE = _latin_table()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, as an expression tree has no names for its parts."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank(c: Column) -> Column:
     """True for null and empty: what counts as missing."""
     return F.coalesce(c, F.lit("")) == ""

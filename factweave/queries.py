@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import flags, keys, period, quantity, text
 from .operators import chunking, guard, reconcile, registry
-from .operators.facts import content_hash, normalize
+from .operators.facts import content_hash, normalize, spread
 from .plans import samples, views
 from .sources import readers
 
@@ -678,7 +678,7 @@ def lenient_json(spark, sf_dir):
 def normalize_facts(spark, sf_dir):
     """PF1, E11, E12, D3: raw facts rendered from parts through the whole projection; tested against golden cases."""
     q = _sql(spark, sf_dir, samples.QUANTITIES, "quantities", ("part",))
-    raw = q.select(F.col("k").alias("id"), (F.col("k") % 5).alias("doc_id"), F.lit("The Company").alias("entity_text"), F.col("label").alias("attribute_label"), F.col("value").alias("value_text"), F.col("unit").alias("unit_text"), F.lit("FY24").alias("period_text"), F.col("kind").alias("fact_kind"), F.concat(F.lit("provisional "), F.col("value")).alias("quote"), F.lit("exact").alias("quote_match"), F.lit(0.9).alias("self_confidence"), F.lit(3).alias("page_no"))
+    raw = spread(q).select(F.col("k").alias("id"), (F.col("k") % 5).alias("doc_id"), F.lit("The Company").alias("entity_text"), F.col("label").alias("attribute_label"), F.col("value").alias("value_text"), F.col("unit").alias("unit_text"), F.lit("FY24").alias("period_text"), F.col("kind").alias("fact_kind"), F.concat(F.lit("provisional "), F.col("value")).alias("quote"), F.lit("exact").alias("quote_match"), F.lit(0.9).alias("self_confidence"), F.lit(3).alias("page_no"))
     context = q.select((F.col("k") % 5).alias("doc_id")).distinct().select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("doc_title"), F.lit("acme").alias("primary_entity_key"), F.lit("2024-05-11").alias("published_date"))
     out = normalize(raw, context)
     return out.select("id", "doc_id", "entity_key", "attribute_key", "fact_kind", "value_num", "currency", "unit_canonical", "period_canonical", "as_of_date", "estimate_status", F.array_join("sanity_flags", ",").alias("sanity_flags"), "extraction_confidence", "content_hash")

@@ -324,3 +324,8 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     assert [got[i][0] for i in (nan - 2, nan - 1)] == [nan, nan] and got[nan][0] == nan - 2  # NaN is the greatest
     assert {i: k for i, (k, _) in got.items() if i < nan - 2} == {i: k for i, k in expected.items() if i < nan - 2}
     assert set(got) == set(expected) | {nan}
+
+
+def test_raw_facts_of_one_small_file_are_spread(spark):
+    out = queries.QUERIES["normalize_facts"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
